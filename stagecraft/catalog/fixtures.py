@@ -15,6 +15,18 @@ from stagecraft.sources.shards import build_or_reuse, read_split
 WHOLE = Options(max_train_examples=None, max_test_examples=None,
                 perplexity_eval_examples=None, collapse_eval_examples=None)
 
+# Limits small enough to bind on the test tables, for the operators whose point they are.
+CAPPED = Options(max_papers_per_field=20, max_train_examples=400, max_test_examples=200,
+                 perplexity_eval_examples=100, shuffle_buffer=100, batch_size=8)
+POOL_SEED = 0
+SHUFFLE_SEED = 0
+DROPOUT_RATE = WHOLE.loss_dropout
+RUN_VARIANTS = {
+    "lambda": tuple(str(v) for v in LAMBDAS),
+    "ablation": (*list(ABLATIONS)[:4], "no_edge_loss"),
+    "dropout": tuple(str(v) for v in DROPOUTS),
+}
+
 FLIP_WORDS = tuple(w for pair in FLIP_PAIRS for w in pair)
 
 
@@ -122,11 +134,9 @@ def surprise_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str, study: str = "lambda") -> DataFrame:
     """Twenty run records (five variants x four seeds) aggregated from the events."""
-    names = {"lambda": [str(v) for v in LAMBDAS], "ablation": list(ABLATIONS)[:4] + ["no_edge_loss"],
-             "dropout": [str(v) for v in DROPOUTS]}[study]
     events = table(spark, sf_dir, "events")
     value = F.col("value")
-    variant = F.element_at(F.array(*[F.lit(v) for v in names]),
+    variant = F.element_at(F.array(*[F.lit(v) for v in RUN_VARIANTS[study]]),
                            (F.col("user_id") % 5 + 1).cast("int"))
     return events.groupBy(variant.alias("variant"), (F.col("event_id") % 4).alias("seed")).agg(
         F.avg(value).alias("perplexity"),
