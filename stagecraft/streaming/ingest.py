@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stagecraft.config import Options
-from stagecraft.operators.caps import head_n
-from stagecraft.operators.skew import salt_of
-from stagecraft.plans.dataset import split_chains
+from stagecraft.plans.dataset import capped, split_chains
+from stagecraft.sources.shards import write_shards
 
 _COUNTS = "split string, field string, n bigint, batch_id bigint"
 
@@ -39,15 +38,10 @@ def _write_batch(batch: DataFrame, batch_id: int, out: str, opts: Options) -> No
     done = _counts_before(spark, out, batch_id)
     written = {r["split"]: r["n"] for r in
                done.groupBy("split").agg(F.sum("n").alias("n")).take(2)}
-    kept = _cap_fields(batch, done, opts)
-    caps = {"train": opts.max_train_examples, "test": opts.max_test_examples}
-    parts = []
-    for split, cap in caps.items():
-        room = None if cap is None else max(0, cap - written.get(split, 0))
-        parts.append(head_n(kept.where(F.col("split") == split), room))
+    fields = done.where("split = 'train'").groupBy("field").agg(F.sum("n").alias("n"))
+    kept = capped(batch, opts, used_fields=fields, used_splits=written)
     chains = f"{out}/chains/batch_id={batch_id}"
-    (parts[0].unionByName(parts[1]).write.mode("overwrite").partitionBy("split")
-     .option("maxRecordsPerFile", opts.shard_rows).parquet(chains))
+    write_shards(kept, chains, opts)
     counts = spark.read.schema(batch.schema).parquet(chains).groupBy("split", "field").agg(
         F.count("*").alias("n"))
     counts.write.mode("overwrite").parquet(f"{out}/counts/batch_id={batch_id}")
@@ -62,18 +56,3 @@ def _counts_before(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
             pass
     return spark.createDataFrame([], _COUNTS)
 
-
-def _cap_fields(batch: DataFrame, done: DataFrame, opts: Options) -> DataFrame:
-    cap = opts.max_papers_per_field
-    if cap <= 0:
-        return batch
-    is_train = F.col("split") == "train"
-    used = done.where(is_train).groupBy("field").agg(F.sum("n").alias("_used"))
-    ranked = batch.where(is_train).withColumn("_salt", salt_of("seq"))
-    for keys in (["field", "_salt"], ["field"]):
-        order = Window.partitionBy(*keys).orderBy("seq")
-        ranked = ranked.withColumn("_rank", F.row_number().over(order)).where(
-            F.col("_rank") <= cap)
-    room = cap - F.coalesce("_used", F.lit(0))
-    kept = ranked.join(used, "field", "left").where(F.col("_rank") <= room)
-    return kept.drop("_salt", "_rank", "_used").unionByName(batch.where(~is_train))
