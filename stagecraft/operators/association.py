@@ -38,7 +38,9 @@ def spearman(df: DataFrame, x: str, y: str, row_id: str) -> DataFrame:
         ranks = average_ranks(rows.select(value), value, rank)
         rows = lookup_counted(rows, ranks, [value], spread=["_row"])
     nan = F.lit(math.nan)
-    rho = F.coalesce(F.corr("_rx", "_ry"), nan)
+    # corr() itself raises on a constant column in ANSI mode.
+    rho = F.coalesce(F.try_divide(F.covar_pop("_rx", "_ry"),
+                                  F.stddev_pop("_rx") * F.stddev_pop("_ry")), nan)
     result = rows.agg(rho.alias("spearman_rho"), F.count("*").alias("n"))
     r, freedom = F.col("spearman_rho"), F.col("n") - 2
     gap = 1 - r * r
