@@ -52,7 +52,8 @@ def fit_bigram(train: DataFrame, opts: Options, whole: bool = False) -> BigramMo
     pairs = bigrams(train, opts, whole).groupBy("v", "w").agg(F.count("*").alias("n"))
     pairs = materialise(pairs, "pairs")
     firsts = pairs.groupBy("v").agg(F.sum("n").alias("n"))
-    words = train.select(F.explode(_window(opts, whole)).alias("token"))
+    # A chain has at least six tokens, so every token is part of some pair.
+    words = pairs.select(F.explode(F.array("v", "w")).alias("token"))
     return BigramModel(pairs, firsts, words.distinct())
 
 

@@ -18,8 +18,9 @@ MAX_RANGES = 2048
 # A key is "hot" from 1/HOT_SHARE of all rows on, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 SALTS = 32
-# A lookup of at most this many rows is broadcast whole.
+# A lookup within both bounds is broadcast whole.
 BROADCAST_ROWS = 50_000
+BROADCAST_KEY_BYTES = 16 << 20
 
 
 def salt_of(*cols: str) -> Column:
@@ -83,8 +84,10 @@ def lookup_counted(big: DataFrame, lookup: DataFrame, keys: Sequence[str],
     keys = list(keys)
     lookup = materialise(lookup, "lookup")
     payload = [c for c in lookup.columns if c not in keys and c != count]
-    size, total = lookup.agg(F.count("*"), F.coalesce(F.sum(count), F.lit(0))).first()
-    if size <= BROADCAST_ROWS:
+    key_bytes = F.octet_length(F.concat(*[F.col(k).cast("string") for k in keys]))
+    size, key_size, total = lookup.agg(
+        F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in (key_bytes, F.col(count))]).first()
+    if size <= BROADCAST_ROWS and key_size <= BROADCAST_KEY_BYTES:
         return big.join(F.broadcast(lookup.drop(count)), keys).select(*big.columns, *payload)
     is_hot = F.col(count) * HOT_SHARE >= total
     hot = lookup.where(is_hot).select(
