@@ -79,6 +79,7 @@ class Options:
     encoder_dim: int = 64
 
     # evaluation; None means "the whole test split"
+    eval_perplexity: bool = True
     n_distractors: int = 4
     use_log_citations: bool = True
     label_strategy: str = "field_quartile"

@@ -32,21 +32,18 @@ def bm25_scores(pools: DataFrame, contexts: DataFrame) -> DataFrame:
     pool = Window.partitionBy("pool_id")
     words = documents.select(
         "pool_id", "pos", "is_true", tokens(F.lower("text")).alias("_words"))
-    measured = (words
-                .withColumn("_len", F.size("_words"))
-                .withColumn("_docs", F.sum(is_candidate.cast("int")).over(pool))
-                .withColumn("_avg_len", F.avg(F.when(is_candidate, F.col("_len"))).over(pool)))
+    measured = words.withColumn("_len", F.size("_words")).withColumns({
+        "_docs": F.sum(is_candidate.cast("int")).over(pool),
+        "_avg_len": F.avg(F.when(is_candidate, F.col("_len"))).over(pool)})
     per_document = ["pool_id", "pos", "is_true", "_len", "_docs", "_avg_len"]
     tf = measured.select(*per_document, F.explode_outer("_words").alias("_term")).groupBy(
         *per_document, "_term").agg(F.count("_term").alias("_tf"))
 
     term = Window.partitionBy("pool_id", "_term")
-    counted = (tf
-               .withColumn("_df", F.sum((is_candidate & F.col("_term").isNotNull())
-                                        .cast("int")).over(term))
-               .withColumn("_query_tf", F.sum(F.when(~is_candidate, F.col("_tf"))
-                                              .otherwise(0)).over(term))
-               .withColumn("_first", F.min(F.when(is_candidate, F.col("pos"))).over(term)))
+    counted = tf.withColumns({
+        "_df": F.sum((is_candidate & F.col("_term").isNotNull()).cast("int")).over(term),
+        "_query_tf": F.sum(F.when(is_candidate, 0).otherwise(F.col("_tf"))).over(term),
+        "_first": F.min(F.when(is_candidate, F.col("pos"))).over(term)})
     raw_idf = F.log(F.col("_docs") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5)
     once = F.col("_term").isNotNull() & (F.col("pos") == F.col("_first"))
     weighed = counted.withColumn("_idf", raw_idf).withColumn(

@@ -40,12 +40,12 @@ def with_range(df: DataFrame, key: str, out: str) -> DataFrame:
         keys = df.select(F.col(key).cast("double").alias(key)).where(~F.isnan(key))
         cuts = sorted(set(keys.approxQuantile(key, probs, 0.25 / parts)))
     if not cuts:
-        return df.withColumn(out, F.lit(0.0))
+        return df.withColumn(out, F.lit(0))
     edges = [float("-inf"), *cuts, float("inf")]
     as_double = df.withColumn("_key", F.col(key).cast("double"))
     ranged = Bucketizer(splits=edges, inputCol="_key", outputCol=out,
                         handleInvalid="keep").transform(as_double)
-    return ranged.drop("_key")
+    return ranged.withColumn(out, F.col(out).cast("int")).drop("_key")
 
 
 def running_total(df: DataFrame, key: str, out: str, *, weight: Column | None = None,

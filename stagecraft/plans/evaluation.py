@@ -43,9 +43,11 @@ def evaluate_all(train: DataFrame, test: DataFrame, opts: Options, *,
     Pools are built once and read by both scorers. Pass shard tables (see
     build_or_reuse), so that the families re-read columns rather than rebuild chains.
     """
-    model = lm.fit_bigram(train, opts)
-    scored = lm.score_bigram(model, head_n(test, opts.perplexity_eval_examples), opts)
-    parts = [_long(lm.perplexity(scored), "perplexity", "perplexity", "avg_nll")]
+    parts = []
+    if opts.eval_perplexity:
+        scored = lm.score_bigram(lm.fit_bigram(train, opts),
+                                 head_n(test, opts.perplexity_eval_examples), opts)
+        parts.append(_long(lm.perplexity(scored), "perplexity", "perplexity", "avg_nll"))
 
     sample = head_n(test.select("seq", "result"), opts.collapse_eval_examples)
     vectors = encode(sample, "result", "vec", opts, encoder=encoder)

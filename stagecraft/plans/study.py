@@ -1,0 +1,77 @@
+"""Run a whole study: every variant and seed, then its summary, tests and files."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable, Iterable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stagecraft.config import Options
+from stagecraft.operators import studies
+from stagecraft.operators.chains import edge_dropout, edges_for
+from stagecraft.operators.losses import edges_run
+from stagecraft.plans.evaluation import evaluate_all, training_losses
+from stagecraft.sources.studies import write_study
+
+RUN_SCHEMA = (
+    "study string, variant string, seed int, wall_time_s double, steps bigint, edges_run bigint, "
+    "train_loss double, perplexity double, F1_recall1 double, F1_bm25_recall1 double, "
+    "F2_rho double, mean_pairwise_cos double, effective_rank double")
+
+_REPORTED = {
+    "perplexity": ("perplexity", "perplexity"),
+    "F1_recall1": ("F1_model", "recall_at_1"),
+    "F1_bm25_recall1": ("F1_bm25", "recall_at_1"),
+    "F2_rho": ("F2", "spearman_rho"),
+    "mean_pairwise_cos": ("embedding_health", "mean_pairwise_cos"),
+    "effective_rank": ("embedding_health", "effective_rank"),
+}
+_SUMMARIES = {"lambda": studies.summarise_lambda, "ablation": studies.summarise_ablation,
+              "dropout": studies.summarise_dropout}
+_BASELINES = {"lambda": "0.0", "ablation": "no_edge_loss", "dropout": "0.0"}
+
+RunOne = Callable[[DataFrame, DataFrame, Options], dict]
+
+
+def run_one(train: DataFrame, test: DataFrame, opts: Options) -> dict:
+    """Losses over one epoch, then the evaluation report, as one flat record."""
+    start = time.time()
+    per_batch = training_losses(train, opts)
+    steps, loss = per_batch.agg(F.count("*"), F.avg("loss")).first()
+    record = {"wall_time_s": time.time() - start, "steps": steps, "train_loss": loss,
+              "edges_run": count_edges(train.sparkSession.range(steps).toDF("batch_id"), opts)}
+    report = {(r["family"], r["metric"]): r["value"]
+              for r in evaluate_all(train, test, opts).collect()}
+    return record | {name: report.get(key) for name, key in _REPORTED.items()}
+
+
+def count_edges(batches: DataFrame, opts: Options) -> int:
+    """(batch, edge) groups that survive dropout; needs the batch numbers only."""
+    if not opts.edge_loss_enabled:
+        return 0
+    edges = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
+                      for i, j in edges_for(opts)])
+    groups = batches.select("batch_id", F.inline(edges))
+    return edges_run(edge_dropout(groups, opts.loss_dropout, opts.seed)).first()[0]
+
+
+def run_study(train: DataFrame, test: DataFrame, name: str, seeds: Iterable[int], opts: Options,
+              directory: str, run: RunOne = run_one) -> DataFrame:
+    """Run every variant for every seed; returns the run records.
+
+    Each run is a Spark job of its own under its own options; only its final record comes
+    to the driver. ``study_<name>`` holds the summary and ``study_<name>_significance`` the
+    tests against the baseline. Pass ``run`` to evaluate models trained elsewhere.
+    """
+    seeds = list(seeds)
+    records = [
+        {"study": name, "variant": variant, "seed": seed,
+         **run(train, test, opts.but(**changes, seed=seed))}
+        for variant, changes in studies.study_variants(name).items() for seed in seeds]
+    runs = train.sparkSession.createDataFrame(records, RUN_SCHEMA)
+    write_study(_SUMMARIES[name](runs), directory, name)
+    report = studies.significance_report(runs, _BASELINES[name])
+    write_study(report, directory, f"{name}_significance")
+    return runs

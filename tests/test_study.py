@@ -1,0 +1,41 @@
+from stagecraft.catalog import fixtures
+from stagecraft.config import Options
+from stagecraft.plans.study import count_edges, run_one, run_study
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_a_study_keeps_its_options_apart(spark, tmp_path):
+    seen = []
+
+    def run(train, test, opts):
+        seen.append(opts)
+        ppl = 10.0 + opts.seed - (3 + opts.seed / 10 if opts.edge_loss_enabled else 0)
+        return {"wall_time_s": 2.0, "steps": 4, "edges_run": 5, "train_loss": 1.0,
+                "perplexity": ppl, "F1_recall1": .5, "F1_bm25_recall1": .4, "F2_rho": 0.0,
+                "mean_pairwise_cos": 0.1, "effective_rank": 9.0}
+
+    frame = spark.range(1)
+    runs = run_study(frame, frame, "lambda", range(3), Options(), str(tmp_path), run)
+    assert runs.count() == 15 == len(seen)
+    assert [o.edge_loss_enabled for o in seen[::3]] == [False, True, True, True, True]
+    summary = spark.read.json(str(tmp_path / "study_lambda"))
+    assert {r["variant"]: len(r["perplexities"]) for r in summary.collect()} == {
+        v: 3 for v in ("0.0", "0.25", "0.5", "1.0", "2.0")}
+    tests = spark.read.json(str(tmp_path / "study_lambda_significance")).collect()
+    assert len(tests) == 4 and all(r["significant_holm"] and r["better_than_baseline"] for r in tests)
+    run_study(frame, frame, "ablation", [0], Options(), str(tmp_path), run)
+    assert {o.edge_loss_type for o in seen[15:]} == {"cosine", "mse"}
+
+
+def test_one_run_on_real_rows(spark):
+    train, test = (fixtures.split(spark, SMALL, s) for s in ("train", "test"))
+    opts = fixtures.WHOLE.but(shuffle_buffer=50, batch_size=16)
+    record = run_one(train, test, opts)
+    assert record["steps"] == -(-train.count() // 16) and record["perplexity"] > 1
+    assert 0 < record["edges_run"] < 6 * record["steps"]
+    assert 0 <= record["F1_recall1"] <= 1 and record["effective_rank"] > 1
+    off = opts.but(edge_loss_enabled=False)
+    assert count_edges(spark.range(3).toDF("batch_id"), off) == 0
+    assert count_edges(spark.range(3).toDF("batch_id"),
+                       opts.but(loss_dropout=0.0, use_long_range_edge=False)) == 15
