@@ -67,6 +67,8 @@ def citations_from(df: DataFrame, column: str) -> Column:
 
 def build_chains(papers: DataFrame, opts: Options) -> DataFrame:
     """One row per paper with all six stages present; other papers are left out."""
+    if opts.seq_column not in papers.columns:
+        raise ValueError(f"papers need a unique arrival number in column {opts.seq_column!r}")
     stages = {stage: _raw(papers, column).cast("string")
               for stage, column in opts.stage_columns}
     complete = F.lit(True)

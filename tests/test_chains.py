@@ -89,3 +89,8 @@ def test_edge_dropout_skips_whole_groups(spark):
     counts = [r["count"] for r in kept.collect()]
     assert set(counts) == {4} and 1400 < len(counts) < 1600
     assert chains.edge_dropout(pairs, 0.0, seed=3).count() == 8000
+
+
+def test_an_arrival_number_is_required(spark):
+    with pytest.raises(ValueError, match="seq"):
+        chains.build_chains(papers(spark, [(1, "a")]).drop("seq"), OPTS)
