@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagecraft.llm import syncmers
+from stagecraft.llm import line_blocks, syncmers, url_vocab, warc_revisit
+from stagecraft.scratch import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,3 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_syncmer_fingerprints(spark, sf_dir):
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_line_block_text(spark, sf_dir):
+    return line_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_warc_revisits(spark, sf_dir):
+    path = scratch_dir(spark, "warc")
+    warc_revisit.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc_revisit.read_archives(spark, path)
+
+
+@query
+def op10_url_vocabulary(spark, sf_dir):
+    return url_vocab.judge_urls(table(spark, sf_dir, "pages"))
