@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stagecraft.llm import line_blocks, syncmers, url_vocab, warc_revisit
+from stagecraft.llm import (
+    ecoc_lang, line_blocks, pii_crf, syncmers, url_vocab, warc_revisit,
+)
 from stagecraft.scratch import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +44,14 @@ def op6_warc_revisits(spark, sf_dir):
 @query
 def op10_url_vocabulary(spark, sf_dir):
     return url_vocab.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_ecoc_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return ecoc_lang.identify(docs, ecoc_lang.fit(ecoc_lang.learnable(docs)))
+
+
+@query
+def op3_crf_personal_data(spark, sf_dir):
+    return pii_crf.find(table(spark, sf_dir, "documents"), pii_crf.train())
