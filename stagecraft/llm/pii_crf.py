@@ -154,6 +154,10 @@ def labelled_table(seed: int = 11, per_kind: int = 25) -> list[tuple[list[str],
             for words in forms:
                 cue = [str(draw.choice(plain)), str(draw.choice(cues[kind] + plain))]
                 table.append((words, cue, ["B-" + kind] + ["I-" + kind] * (len(words) - 1)))
+        for words, labels in (([card(), card()], ["B-card", "B-card"]),
+                              ([card(16, False), card()], ["O", "B-card"]),
+                              ([card(16, False), card(16, False)], ["O", "O"])):
+            table.append((words, [str(draw.choice(plain)) for _ in range(2)], labels))
         for words in none:
             table.append((words, [str(draw.choice(plain)) for _ in range(2)], ["O"] * len(words)))
     return table

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stagecraft.llm import (
-    ecoc_lang, line_blocks, pii_crf, syncmers, url_vocab, warc_revisit,
+    bm25_decon, ecoc_lang, line_blocks, mixture, pii_crf, syncmers, url_vocab, warc_revisit,
 )
 from stagecraft.scratch import scratch_dir
 
@@ -55,3 +55,14 @@ def op4_ecoc_language(spark, sf_dir):
 @query
 def op3_crf_personal_data(spark, sf_dir):
     return pii_crf.find(table(spark, sf_dir, "documents"), pii_crf.train())
+
+
+@query
+def op8_source_mixture(spark, sf_dir):
+    return mixture.mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_bm25_decontamination(spark, sf_dir):
+    return bm25_decon.contaminated(table(spark, sf_dir, "documents"),
+                                   table(spark, sf_dir, "benchmark"))
