@@ -58,8 +58,6 @@ class Item:
     item_id: int
     words: list[str]
     question: int
-    terms: np.ndarray
-    shares: np.ndarray
 
 
 @dataclass
@@ -67,6 +65,7 @@ class Index:
     vocabulary: dict[str, int]
     items: list[Item]
     bounds: np.ndarray      # terms x blocks: the most a term adds to the share of an item
+    weights: np.ndarray     # items x terms: the share each term adds
     stride: int
 
     def search(self, words: list[str], least: float = LEAST):
@@ -85,10 +84,11 @@ class Index:
         ends = np.append(starts[1:], len(keys))
         for row, block in zip(*np.nonzero(limit >= least - 1e-4)):
             have = term[starts[row] : ends[row]]
-            for item in self.items[block * IN_BLOCK : (block + 1) * IN_BLOCK]:
-                share = item.shares[np.isin(item.terms, have, assume_unique=True)].sum()
-                if share >= least:
-                    yield item, float(share), int(passage[starts[row]]) * self.stride
+            first = block * IN_BLOCK
+            share = self.weights[first : first + IN_BLOCK, have].sum(axis=1)
+            for i in np.flatnonzero(share >= least - 1e-6):
+                yield (self.items[first + i], float(share[i]),
+                       int(passage[starts[row]]) * self.stride)
 
     def verified(self, text: str | None, least: float = LEAST, overlap: float = OVERLAP):
         """{item_id: (share, overlap, question overlap, answer overlap)} of the items in a text."""
@@ -108,7 +108,7 @@ class Index:
 def build(rows: list[tuple[int, str, list[str], list[int]]], n_items: int, mean: float) -> Index:
     """rows: item_id, text, tokens, document frequency of each token."""
     vocabulary: dict[str, int] = {}
-    items = []
+    items, shares = [], []
     for item_id, text, words, dfs in sorted(rows, key=lambda r: (len(r[2]), r[0] is None, r[0], r[1])):
         weight, norm = {}, K1 * (1 - B + B * len(words) / mean)
         for word, df in zip(words, dfs):
@@ -116,14 +116,16 @@ def build(rows: list[tuple[int, str, list[str], list[int]]], n_items: int, mean:
         for word, tf in Counter(words).items():
             weight[word] *= tf * (K1 + 1) / (tf + norm)
         ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in weight], np.int64)
-        shares = np.array(list(weight.values()))
-        items.append(Item(item_id, words, question_words(text), ids, shares / shares.sum()))
-    bounds = np.zeros((max(1, len(vocabulary)), -(-len(items) // IN_BLOCK)), np.float32)
-    for i, item in enumerate(items):
-        block = i // IN_BLOCK
-        bounds[item.terms, block] = np.maximum(bounds[item.terms, block], item.shares)
+        own = np.array(list(weight.values()))
+        shares.append((ids, own / own.sum()))
+        items.append(Item(item_id, words, question_words(text)))
+    weights = np.zeros((len(items), max(1, len(vocabulary))), np.float32)
+    for i, (ids, share) in enumerate(shares):
+        weights[i, ids] = share
+    bounds = np.stack([weights[i : i + IN_BLOCK].max(axis=0)
+                       for i in range(0, len(items), IN_BLOCK)], axis=1)
     longest = max((len(i.words) for i in items), default=0)
-    return Index(vocabulary, items, bounds, max(STRIDE, longest))
+    return Index(vocabulary, items, bounds, weights, max(STRIDE, longest))
 
 
 def indexes(benchmark: DataFrame, per_index: int = PER_INDEX):
