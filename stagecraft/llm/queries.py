@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stagecraft.llm import (
-    bm25_decon, ecoc_lang, line_blocks, mixture, pii_crf, syncmers, url_vocab, warc_revisit,
+    bm25_decon, ecoc_lang, line_blocks, mixture, ngram_join, pii_crf, syncmers, url_vocab, warc_revisit,
 )
 from stagecraft.scratch import scratch_dir
 
@@ -66,3 +66,8 @@ def op8_source_mixture(spark, sf_dir):
 def op7_bm25_decontamination(spark, sf_dir):
     return bm25_decon.contaminated(table(spark, sf_dir, "documents"),
                                    table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_ngram_jaccard(spark, sf_dir):
+    return ngram_join.grouped(table(spark, sf_dir, "documents")).drop("node")
