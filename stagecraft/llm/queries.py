@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stagecraft.llm import (
-    bm25_decon, ecoc_lang, line_blocks, mixture, ngram_join, pii_crf, syncmers, url_vocab, warc_revisit,
+    bm25_decon, ecoc_lang, fm_dedup, line_blocks, mixture, ngram_join, pii_crf, syncmers, url_vocab, warc_revisit,
 )
 from stagecraft.scratch import scratch_dir
 
@@ -71,3 +71,8 @@ def op7_bm25_decontamination(spark, sf_dir):
 @query
 def op9_ngram_jaccard(spark, sf_dir):
     return ngram_join.grouped(table(spark, sf_dir, "documents")).drop("node")
+
+
+@query
+def op2_fm_index_dedup(spark, sf_dir):
+    return fm_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
