@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagecraft.llm.words import batched, gram_hashes, mix, run_hashes, signed, word_hashes
@@ -93,16 +93,17 @@ def part_digests(grams: np.ndarray, band: int, parts: int) -> np.ndarray:
 
 
 def heads(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, number of distinct n-grams, node."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
+    """doc_id, hash of the text, number of distinct n-grams, node."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "tag", "n_shingles", "node")])
 
     def fill(batch):
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+        for doc_id, tag, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "tag", "text"))):
             grams = gram_set(text, n)
-            yield doc_id, len(grams), node_id(grams)
+            yield doc_id, tag, len(grams), node_id(grams)
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        batched(schema, fill), "doc_id bigint, n_shingles bigint, node bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("tag"), "text"
+                       ).mapInArrow(batched(schema, fill), "doc_id bigint, tag bigint, "
+                                    "n_shingles bigint, node bigint")
 
 
 def listed(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -142,10 +143,10 @@ def lists(docs: DataFrame, n: int, percent: int) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = listed(docs, n, percent).repartition(parts, "part")
     members = dealt.groupBy("part", "node").agg(F.sum("copies").alias("copies"))
-    hubs = members.groupBy("part").agg(
-        F.max(F.struct("copies", "node")).alias("_top"), F.count("*").alias("_kinds"))
-    return members.join(hubs.where("_kinds > 1").hint("merge"), "part").select(
-        "part", "node", F.col("_top.node").alias("hub"))
+    whole = Window.partitionBy("part")
+    marked = members.withColumns({"_top": F.max(F.struct("copies", "node")).over(whole),
+                                  "_kinds": F.count("*").over(whole)})
+    return marked.where("_kinds > 1").select("part", "node", F.col("_top.node").alias("hub"))
 
 
 def sets_of(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
@@ -316,7 +317,7 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFrame, Da
 
 
 def grouped(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id and the node of each row."""
+    """doc_id, n_shingles, component_id, and hash of the text and node of each row."""
     head, found = links(docs, n, percent)
     reps = head.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     named = reps.join(components(found).hint("merge"), "node", "left").select(
@@ -326,4 +327,16 @@ def grouped(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     return head.join(of_node.hint("merge"), F.col("node") == F.col("_node"), "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-        .alias("component_id"), "node")
+        .alias("component_id"), "tag", "node")
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, all columns kept: that with the component's doc_id, of
+    rows with the same id the one with the smallest hash of its text. Rows with null ids
+    stay only where their component has no other id."""
+    kept = grouped(docs, n, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept.groupBy("doc_id").agg(F.min("tag").alias("_tag")).withColumnRenamed(
+        "doc_id", "_kept_id")
+    rows = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept_id"))
+                     & (F.xxhash64("text") == F.col("_tag")), "left_semi")
+    return rows.dropDuplicates(["doc_id"])

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from stagecraft.llm import (
     bm25_decon, ecoc_lang, fm_dedup, line_blocks, mixture, ngram_join, pii_crf, syncmers, url_vocab, warc_revisit,
 )
@@ -70,9 +71,14 @@ def op7_bm25_decontamination(spark, sf_dir):
 
 @query
 def op9_ngram_jaccard(spark, sf_dir):
-    return ngram_join.grouped(table(spark, sf_dir, "documents")).drop("node")
+    return ngram_join.grouped(table(spark, sf_dir, "documents")).drop("tag", "node")
 
 
 @query
 def op2_fm_index_dedup(spark, sf_dir):
     return fm_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
