@@ -37,7 +37,7 @@ from stagecraft.llm.words import (
     batched, gram_hashes, run_hashes, signed, sliding_min, word_hashes, word_spans)
 from stagecraft.scratch import materialise
 
-WINDOW, GRAM, SHARD, HOT = 35, 2, 500_000, 5000
+WINDOW, GRAM, SHARD, HOT = 35, 6, 500_000, 5000
 
 
 def segments(words: np.ndarray, window: int = WINDOW, gram: int = GRAM):
@@ -221,8 +221,7 @@ def segment_words(docs: DataFrame, wanted: DataFrame, shards: int, window: int)
     joined = keyed(docs).join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))
                        & (F.col("tag") == F.col("_tag"))).select("text", "found")
     return joined.mapInArrow(batched(schema, fill, 1000), "shard bigint, least bigint, "
-                             "digest bigint, at bigint, words array<bigint>").dropDuplicates(
-        ["least", "digest", "at"])
+                             "digest bigint, at bigint, words array<bigint>")
 
 
 def search_shards(words: DataFrame, window: int) -> DataFrame:
@@ -230,12 +229,16 @@ def search_shards(words: DataFrame, window: int) -> DataFrame:
     names = ("least", "digest", "low", "high")
 
     def search(shard: pa.Table) -> pa.Table:
-        own = [shard[c].to_numpy() for c in ("least", "digest", "at")]
-        flat, ends = shard["words"].combine_chunks(), []
+        names_ = ("least", "digest", "at")
+        _, once = np.unique(np.stack([shard[c].to_numpy() for c in names_]), axis=1,
+                            return_index=True)  # a repeated document brings its segments twice
+        shard = shard.take(pa.array(once))
+        own = [shard[c].to_numpy() for c in names_]
+        flat = pa.concat_arrays(shard["words"].chunks)
         values, offsets = flat.values.to_numpy(), flat.offsets.to_numpy()
-        ends = [values[a:b].view(np.uint64) for a, b in zip(offsets[:-1], offsets[1:])]
+        words_ = [values[a:b].view(np.uint64) for a, b in zip(offsets[:-1], offsets[1:])]
         rows = [(own[0][i], own[1][i], own[2][i] + a, own[2][i] + b)
-                for i, a, b in repeated_ranges(ends, window)]
+                for i, a, b in repeated_ranges(words_, window)]
         columns = zip(*rows) if rows else [[]] * 4
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns)})
 
