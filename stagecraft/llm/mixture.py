@@ -99,7 +99,7 @@ def placed(base: DataFrame, block: int = BLOCK, weights: Sequence[int] = WEIGHTS
            most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """Rows of ``sized`` with their source's number, target and their first word's offset;
     and the sources with their numbers of blocks and slots."""
-    ranged = with_range(base, "doc_id", "_range")
+    ranged = with_range(base, "doc_id", "_range").fillna(1 << 20, "_range")
     totals = ranged.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     sources = totals.groupBy("source").agg(F.sum("_sum").alias("source_size"))
     blocks = F.ceil(F.col("source_size") / block).cast("bigint")
@@ -171,9 +171,9 @@ def mix(docs: DataFrame, seed: int = 1, block: int = BLOCK, weights: Sequence[in
     rows = materialise(rows, "mix-rows")
     reads = slot_plan(sources, seed).groupBy("number", "block").agg(F.count("*").alias("_n"))
     used = pieces(rows.select("number", "offset", "size"), block).join(
-        reads, ["number", "block"]).groupBy("number", "offset").agg(
+        reads.hint("merge"), ["number", "block"]).groupBy("number", "offset").agg(
         F.sum(F.col("words") * F.col("_n")).alias("taken"))
-    some = rows.where("size > 0").join(used, ["number", "offset"], "left")
+    some = rows.where("size > 0").join(used.hint("merge"), ["number", "offset"], "left")
     out = ("doc_id", "source", "size", "source_size", "target")
     return some.select(*out, F.coalesce("taken", F.lit(0)).alias("taken")).unionAll(
         rows.where("size = 0").select(*out, F.lit(0).cast("bigint").alias("taken")))
@@ -194,5 +194,5 @@ def mixed_blocks(docs: DataFrame, seed: int = 1, block: int = BLOCK,
         F.sort_array(F.collect_list(part)).alias("_parts")).select(
         "number", "source", "block", F.col("_parts.doc_id").alias("doc_ids"),
         F.array_join(F.flatten(F.col("_parts.words")), " ").alias("text"))
-    return slot_plan(sources, seed).join(packed, ["number", "block"]).select(
+    return slot_plan(sources, seed).join(packed.hint("merge"), ["number", "block"]).select(
         "shard", "place", "source", "block", "doc_ids", "text")

@@ -29,6 +29,7 @@ from stagecraft.llm.words import (
 from stagecraft.operators.skew import with_range
 
 K, S, KEPT = 12, 5, 64
+NO_ID = 1 << 20  # the range of null ids, behind all others
 
 
 def anchors(codes: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +96,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     Texts cross the network once. The table of ranges has at most as many rows as there
     are shuffle partitions.
     """
-    docs = with_range(docs.select(F.col("doc_id").cast("bigint"), "text"), "doc_id", "_range")
+    docs = with_range(docs.select(F.col("doc_id").cast("bigint"), "text"), "doc_id", "_range"
+                      ).fillna(NO_ID, "_range")
     order = Window.orderBy("_range")  # one row a range
     firsts = docs.groupBy("_range").agg(F.min("doc_id").alias("_first"))
     last = F.max("_range").over(order.rowsBetween(
