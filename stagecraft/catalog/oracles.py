@@ -56,7 +56,7 @@ _COLUMNS = dict(WHOLE.stage_columns)
 
 CHAINS = PAPERS + f""",
 built AS (
-  SELECT {", ".join(f"substr({_TRIM.format(c)}, 1, {WHOLE.max_stage_chars}) AS {s}"
+  SELECT {", ".join(f"{_TRIM.format(c)} AS {s}"
                     for s, c in _COLUMNS.items())},
     coalesce(paper_id, 'None') AS id, {_YEAR} AS year,
     coalesce(oa_cited_by_count, 0) AS citations, {_FIELD} AS field, seq
@@ -177,8 +177,8 @@ bm25 AS (
   LEFT JOIN idf i ON i.pool_id = t.pool_id AND i.term = t.term
   GROUP BY ALL)"""
 
-DENSE = POOLS + ",\n" + vectors("ctxs", "pool_id", "ctx", WHOLE.context_tokens, "pred") + ",\n" + \
-    vectors("pools", "pool_id, pos, is_true", "text", WHOLE.max_stage_tokens, "cand") + """,
+DENSE = POOLS + ",\n" + vectors("ctxs", "pool_id", "ctx", None, "pred") + ",\n" + \
+    vectors("pools", "pool_id, pos, is_true", "text", None, "cand") + """,
 dense AS (SELECT c.pool_id, c.pos, c.is_true, list_dot_product(p.v, c.v) AS score
           FROM cand c JOIN pred p USING (pool_id))"""
 
@@ -378,10 +378,10 @@ own AS (SELECT *, pos // {block} % 2 AS worker, pos // {block} // 2 * {block} +
         f"FROM {ranked('dense')} WHERE is_true")
 
     # encoders
-    add("encode", CHAINS + ",\n" + vectors("chains", "seq", "result", WHOLE.max_stage_tokens, "vec"),
+    add("encode", CHAINS + ",\n" + vectors("chains", "seq", "result", None, "vec"),
         "SELECT seq, list_transform(v, lambda x: round(x, 6)) AS vec FROM vec")
     add("predict_stage", CHAINS + f", c AS (SELECT seq, {_ctx(3)} AS ctx FROM chains),\n"
-        + vectors("c", "seq", "ctx", WHOLE.context_tokens, "vec"),
+        + vectors("c", "seq", "ctx", None, "vec"),
         "SELECT seq, list_transform(v, lambda x: round(x, 6)) AS vec FROM vec")
     add("l2_normalise", EMB, "SELECT pair_id, round(list_dot_product(pred, truth), 6) AS dot, "
         "round(sqrt(list_dot_product(pred, pred)), 5) AS norm, "
@@ -398,12 +398,11 @@ own AS (SELECT *, pos // {block} % 2 AS worker, pos // {block} // 2 * {block} +
         "SELECT field, count(*) AS n FROM chains WHERE split = 'train' GROUP BY field")
 
     # language model
-    add("bigram_model", language_model(WHOLE.full_text_tokens), "SELECT v, w, n FROM pair_n")
-    add("token_nll", language_model(WHOLE.full_text_tokens),
+    add("bigram_model", language_model(None), "SELECT v, w, n FROM pair_n")
+    add("token_nll", language_model(None),
         "SELECT seq, round(nll, 6) AS nll FROM nlls WHERE split = 'test'")
-    for name, words in (("perplexity", WHOLE.full_text_tokens), ("perplexity_whole_text", None)):
-        add(name, language_model(words), "SELECT round(exp(avg(nll)), 4) AS perplexity, "
-            "round(avg(nll), 6) AS avg_nll FROM nlls WHERE split = 'test'")
+    add("perplexity", language_model(None), "SELECT round(exp(avg(nll)), 4) AS perplexity, "
+        "round(avg(nll), 6) AS avg_nll FROM nlls WHERE split = 'test'")
 
     # losses and health
     add("edge_loss", EMB, "SELECT batch_id, i, j, round(cos, 6) AS cos, round(loss, 6) AS loss FROM edge_losses")
@@ -451,9 +450,9 @@ dims AS (SELECT u.k, sum(e.embedding[u.k]::DOUBLE) AS s, sum(e.embedding[u.k]::D
 
     # whole flows
     rows = f"tests2 AS (SELECT seq, field, citations, {_ctx(3)} AS ctx, result FROM tests),\n"
-    lm_tail = language_model(WHOLE.full_text_tokens)[len(CHAINS):]
+    lm_tail = language_model(None)[len(CHAINS):]
     ev = (BM25 + DENSE[len(POOLS):] + lm_tail + ",\n" + rows
-          + vectors("tests2", "seq", "result", WHOLE.max_stage_tokens, "res") + """,
+          + vectors("tests2", "seq", "result", None, "res") + """,
 surprise AS (SELECT t.seq, t.field, t.citations, 1 - list_dot_product(p.v, r.v) AS surprise
   FROM tests2 t JOIN pred p ON p.pool_id = t.seq::VARCHAR JOIN res r ON r.seq = t.seq),
 dims AS (SELECT u.k, sum(v[u.k]) AS s, sum(v[u.k] ** 2) AS s2 FROM res, range(1, 65) u(k) GROUP BY 1),
@@ -476,8 +475,8 @@ UNION ALL SELECT 'F2', 'positive_rate', avg(label) FROM labelled)""")
 batched AS (SELECT seq, order_pos // {size} AS batch_id FROM ordered),
 kept AS (SELECT b.batch_id, p.seq, p.i, p.j, p.context, p.target FROM pairs p JOIN batched b USING (seq)
          WHERE {drop}),
-""" + vectors("kept", "batch_id, seq, i, j", "context", WHOLE.context_tokens, "pv") + ",\n" + \
-        vectors("kept", "batch_id, seq, i, j", "target", WHOLE.max_stage_tokens, "tv") + """,
+""" + vectors("kept", "batch_id, seq, i, j", "context", None, "pv") + ",\n" + \
+        vectors("kept", "batch_id, seq, i, j", "target", None, "tv") + """,
 el AS (SELECT batch_id, i, j, avg(list_dot_product(p.v, t.v)) AS cos FROM pv p
        JOIN tv t USING (batch_id, seq, i, j) GROUP BY ALL),
 used AS (SELECT batch_id, avg(1 - cos) AS loss FROM el WHERE cos <= 0.95 GROUP BY 1),

@@ -22,6 +22,8 @@ from stagecraft.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# Scores are ranked as the statements rank them: engines differ in the last bits.
+DIGITS = 6
 ROW = (*STAGES, "id", "year", "citations", "field", "seq")
 
 
@@ -261,12 +263,12 @@ def bm25_scores(spark, sf_dir):
 
 @query
 def rank_candidates(spark, sf_dir):
-    return retrieval.rank_candidates(_bm25(spark, sf_dir)).select("pool_id", "pos", "is_true", "rank")
+    return retrieval.rank_candidates(_bm25(spark, sf_dir), DIGITS).select("pool_id", "pos", "is_true", "rank")
 
 
 @query
 def bm25_recall(spark, sf_dir):
-    return rounded(retrieval.bm25_recall(_bm25(spark, sf_dir)), "recall_at_1")
+    return rounded(retrieval.bm25_recall(_bm25(spark, sf_dir), DIGITS), "recall_at_1")
 
 
 @query
@@ -276,7 +278,7 @@ def dense_scores(spark, sf_dir):
 
 @query
 def retrieval_metrics(spark, sf_dir):
-    ranked = retrieval.rank_candidates(_dense(spark, sf_dir))
+    ranked = retrieval.rank_candidates(_dense(spark, sf_dir), DIGITS)
     return rounded(retrieval.retrieval_metrics(ranked), "recall_at_1", "recall_at_5", "mrr")
 
 
@@ -339,14 +341,14 @@ def field_counts(spark, sf_dir):
 
 # ---- language model ----------------------------------------------------------------------
 
-def _nll(spark, sf_dir, whole=False):
-    model = lm.fit_bigram(trains(spark, sf_dir), fx.WHOLE, whole)
-    return lm.score_bigram(model, tests(spark, sf_dir), fx.WHOLE, whole)
+def _nll(spark, sf_dir):
+    model = lm.fit_bigram(trains(spark, sf_dir))
+    return lm.score_bigram(model, tests(spark, sf_dir), fx.WHOLE)
 
 
 @query
 def bigram_model(spark, sf_dir):
-    return lm.fit_bigram(trains(spark, sf_dir), fx.WHOLE).pairs
+    return lm.fit_bigram(trains(spark, sf_dir)).pairs
 
 
 @query
@@ -356,16 +358,8 @@ def token_nll(spark, sf_dir):
 
 @query
 def perplexity(spark, sf_dir):
-    return _perplexity(_nll(spark, sf_dir))
-
-
-@query
-def perplexity_whole_text(spark, sf_dir):
-    return _perplexity(_nll(spark, sf_dir, whole=True))
-
-
-def _perplexity(scored):
-    return lm.perplexity(scored).select(
+    scored = lm.corpus_perplexity(lm.fit_bigram(trains(spark, sf_dir)), tests(spark, sf_dir), fx.WHOLE)
+    return scored.select(
         r6("perplexity", 4).alias("perplexity"), r6("avg_nll").alias("avg_nll"))
 
 
@@ -429,7 +423,7 @@ def _surprise(spark, sf_dir):
 
 @query
 def spearman(spark, sf_dir):
-    result = association.spearman(_surprise(spark, sf_dir), "surprise", "citations", "pair_id")
+    result = association.spearman(_surprise(spark, sf_dir), "surprise", "citations", "pair_id", DIGITS)
     return rounded(result, "spearman_rho", "spearman_p")
 
 
@@ -437,7 +431,7 @@ def spearman(spark, sf_dir):
 def auroc(spark, sf_dir):
     labelled = labels.citation_labels(
         _surprise(spark, sf_dir).withColumnRenamed("pair_id", "seq"), fx.WHOLE)
-    return rounded(association.auroc(labelled, "label", "surprise"), "auroc")
+    return rounded(association.auroc(labelled, "label", "surprise", DIGITS), "auroc")
 
 
 # ---- studies -------------------------------------------------------------------------------
@@ -526,13 +520,13 @@ def significance_report(spark, sf_dir):
 @query
 def evaluate_all(spark, sf_dir):
     report = evaluation.evaluate_all(trains(spark, sf_dir), tests(spark, sf_dir), fx.WHOLE,
-                                     with_rank=False)
+                                     with_rank=False, digits=DIGITS)
     return rounded(report, "value", digits=4)
 
 
 @query
 def evaluate_all_with_rank(spark, sf_dir):
-    report = evaluation.evaluate_all(trains(spark, sf_dir), tests(spark, sf_dir), fx.WHOLE)
+    report = evaluation.evaluate_all(trains(spark, sf_dir), tests(spark, sf_dir), fx.WHOLE, digits=DIGITS)
     return rounded(report, "value", digits=4)
 
 

@@ -23,19 +23,12 @@ STAGE_COLUMNS = (
 CHAIN_EDGES = ((0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (2, 4))
 LONG_RANGE_EDGE = (2, 4)
 
-# Row caps per scale tier (train rows, test rows, perplexity rows, batch).
-TIER_CAPS = {
-    "smoke": (2_000, 200, 50, 2),
-    "FT": (50_000, 3_000, 1_000, 8),
-    "P1": (200_000, 3_000, 1_000, 16),
-    "P2": (1_000_000, 3_000, 1_000, 16),
-}
-
-# Settings that decide what a built dataset contains, hence its signature.
+# Fixed values up to max_stage_chars: settings that decide what a built dataset contains, hence its signature.
 _CONTENT_SETTINGS = (
     "dataset", "stage_columns", "year_column", "citation_column", "field_column",
     "id_column", "train_cutoff_year", "test_year", "random_split_test_frac",
     "max_train_examples", "max_test_examples", "max_papers_per_field", "max_stage_chars",
+    "fallback_year_column", "seq_column",
 )
 
 
@@ -51,14 +44,14 @@ class Options:
     id_column: str = "paper_id"
     seq_column: str = "seq"          # unique arrival number; replaces stream order
 
-    # splitting and caps; None means "no cap"
+    # splitting and limits; all data and whole texts unless the caller sets a limit
     train_cutoff_year: int = 2024
     test_year: int = 2025
     random_split_test_frac: float = 0.1
-    max_stage_chars: int = 1000
+    max_stage_chars: int | None = None
     max_papers_per_field: int = 0    # 0 means "no cap"
-    max_train_examples: int | None = 5_000
-    max_test_examples: int | None = 1_000
+    max_train_examples: int | None = None
+    max_test_examples: int | None = None
     shard_rows: int = 2_000
     shuffle_buffer: int = 2_000
     num_workers: int = 2
@@ -75,7 +68,7 @@ class Options:
     loss_dropout: float = 0.125
     use_pred_tokens: bool = True
     num_pred_tokens: int = 4
-    max_stage_tokens: int = 64
+    max_stage_tokens: int = 64       # of truncate_tokens and prediction_prompt
     encoder_dim: int = 64
 
     # evaluation; None means "the whole test split"
@@ -84,25 +77,14 @@ class Options:
     use_log_citations: bool = True
     label_strategy: str = "field_quartile"
     top_quantile: float = 0.75
-    perplexity_eval_examples: int | None = 500
-    collapse_eval_examples: int | None = 200
+    perplexity_eval_examples: int | None = None
+    collapse_eval_examples: int | None = None
     smoothing: float = 1.0
     seed: int = 0
 
     def but(self, **changes) -> "Options":
         return replace(self, **changes)
 
-    def tier(self, name: str) -> "Options":
-        """The same options with the row caps of a named scale tier."""
-        if name not in TIER_CAPS:
-            raise ValueError(f"unknown tier {name!r}; known: {sorted(TIER_CAPS)}")
-        train, test, scored, batch = TIER_CAPS[name]
-        changes = dict(max_train_examples=train, max_test_examples=test,
-                       perplexity_eval_examples=scored, batch_size=batch)
-        if name == "smoke":
-            changes["collapse_eval_examples"] = 50
-        return self.but(**changes)
-
     @property
     def context_tokens(self) -> int:
         return 5 * self.max_stage_tokens

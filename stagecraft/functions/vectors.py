@@ -46,12 +46,12 @@ def encode(df: DataFrame, text: str, out: str, opts: Options, *,
     """Add a unit vector of a text column.
 
     ``encoder`` may be any Column -> array<double> function, e.g. a pandas UDF or
-    ``pyspark.ml.functions.predict_batch_udf``. The default hashes the first ``limit``
-    lower-case tokens into signed buckets.
+    ``pyspark.ml.functions.predict_batch_udf``. The default hashes the
+    lower-case tokens (the first ``limit``, if one is given) into signed buckets.
     """
     if encoder is not None:
         return df.withColumn(out, l2_normalise(encoder(F.col(text))))
-    return _hashed(df, text, out, opts.encoder_dim, limit or opts.max_stage_tokens)
+    return _hashed(df, text, out, opts.encoder_dim, limit)
 
 
 def predict_stage(df: DataFrame, context: str, out: str, opts: Options, *,
@@ -64,10 +64,10 @@ def predict_stage(df: DataFrame, context: str, out: str, opts: Options, *,
     if encoder is not None:
         return df.withColumn(out, l2_normalise(
             encoder(prediction_prompt(F.col(context), opts))))
-    return _hashed(df, context, out, opts.encoder_dim, opts.context_tokens)
+    return _hashed(df, context, out, opts.encoder_dim, None)
 
 
-def _hashed(df: DataFrame, text: str, out: str, dim: int, limit: int) -> DataFrame:
+def _hashed(df: DataFrame, text: str, out: str, dim: int, limit: int | None) -> DataFrame:
     # Each token becomes +-(bucket + 1); a bucket's weight is the number of its positive
     # codes minus that of its negative ones, read off array sizes with one code removed.
     def signed_code(token):
@@ -80,7 +80,8 @@ def _hashed(df: DataFrame, text: str, out: str, dim: int, limit: int) -> DataFra
         return (F.size(F.array_remove("_codes", -b))
                 - F.size(F.array_remove("_codes", b))).cast("double")
 
-    codes = F.transform(F.slice(tokens(F.lower(F.col(text))), 1, limit), signed_code)
+    words = tokens(F.lower(F.col(text)))
+    codes = F.transform(words if limit is None else F.slice(words, 1, limit), signed_code)
     weighed = df.withColumn("_codes", codes).withColumn(
         "_weights", F.transform(F.sequence(F.lit(1), F.lit(dim)), weight))
     return with_once(weighed, l2_normalise("_weights").alias(out)).drop("_codes", "_weights")

@@ -11,12 +11,11 @@ from stagecraft.functions.significance import t_two_sided_p
 from stagecraft.operators.skew import lookup_counted, running_total
 from stagecraft.scratch import materialise
 
-VALUE_DIGITS = 6
 
-
-def rank_value(col: str) -> Column:
-    """Value rounded for ranking, so last-bit noise does not split ties (-0.0 is 0.0)."""
-    return F.round(F.col(col).cast("double"), VALUE_DIGITS) + 0.0
+def rank_value(col: str, digits: int | None = None) -> Column:
+    """The value to rank by (-0.0 is 0.0), rounded only where the caller gives ``digits``."""
+    value = F.col(col).cast("double")
+    return (value if digits is None else F.round(value, digits)) + 0.0
 
 
 def average_ranks(values: DataFrame, value: str, out: str) -> DataFrame:
@@ -26,14 +25,15 @@ def average_ranks(values: DataFrame, value: str, out: str) -> DataFrame:
     return placed.select(value, "n", (F.col("_before") + (F.col("n") + 1) / 2.0).alias(out))
 
 
-def spearman(df: DataFrame, x: str, y: str, row_id: str) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, row_id: str,
+             digits: int | None = None) -> DataFrame:
     """``spearman_rho, spearman_p, n`` over the rows of df.
 
     Values are ranked once per distinct value, then looked up; a value held by a third of
     all rows (0 citations, say) never meets in one task.
     """
-    rows = df.select(F.col(row_id).alias("_row"), rank_value(x).alias("_x"),
-                     rank_value(y).alias("_y"))
+    rows = df.select(F.col(row_id).alias("_row"), rank_value(x, digits).alias("_x"),
+                     rank_value(y, digits).alias("_y"))
     for value, rank in (("_x", "_rx"), ("_y", "_ry")):
         ranks = average_ranks(rows.select(value), value, rank)
         rows = lookup_counted(rows, ranks, [value], spread=["_row"])
@@ -50,12 +50,12 @@ def spearman(df: DataFrame, x: str, y: str, row_id: str) -> DataFrame:
         freedom >= 1, t_two_sided_p(t, freedom)).otherwise(nan).alias("spearman_p"), "n")
 
 
-def auroc(df: DataFrame, label: str, score: str) -> DataFrame:
+def auroc(df: DataFrame, label: str, score: str, digits: int | None = None) -> DataFrame:
     """``auroc``: chance that a positive row outscores a negative one, ties counting half.
 
     Rank-sum over distinct scores with their positive counts; NaN with one class only.
     """
-    counted = materialise(df.groupBy(rank_value(score).alias("_s")).agg(
+    counted = materialise(df.groupBy(rank_value(score, digits).alias("_s")).agg(
         F.count("*").alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_pos")), "values")
     placed = running_total(counted, "_s", "_before", weight=F.col("_n"))
     mean_rank = F.col("_before") + (F.col("_n") + 1) / 2.0

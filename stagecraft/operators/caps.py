@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from stagecraft.config import Options
 from stagecraft.operators.skew import lookup_counted, running_total, salt_of
 
-# Up to this many rows a plain ordered limit merges per-task top lists in one task.
-SMALL_LIMIT = 10_000
 _IS_TRAIN = "split = 'train'"
 
 
@@ -60,10 +58,6 @@ def cap_per_field(chains: DataFrame, opts: Options) -> DataFrame:
 
 def last_of_first(rows: DataFrame, n: int, order: str = "seq") -> int | None:
     """The order value of the n-th row, or None if there are no more than n rows."""
-    if n <= SMALL_LIMIT:
-        found, last = rows.select(order).orderBy(order).limit(n).agg(
-            F.count("*"), F.max(order)).first()
-        return last if found == n else None
     placed = running_total(rows.select(order), order, "_pos")
     return placed.where(F.col("_pos") == n - 1).agg(F.max(order)).first()[0]
 

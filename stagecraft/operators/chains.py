@@ -80,7 +80,8 @@ def build_chains(papers: DataFrame, opts: Options) -> DataFrame:
         paper_id = F.lit("")
     years = (opts.year_column, opts.fallback_year_column)
     return papers.where(complete).select(
-        *[F.substring(strip(raw), 1, opts.max_stage_chars).alias(stage)
+        *[(strip(raw) if opts.max_stage_chars is None
+           else F.substring(strip(raw), 1, opts.max_stage_chars)).alias(stage)
           for stage, raw in stages.items()],
         paper_id.alias("id"),
         year_from(papers, years).alias("year"),

@@ -22,11 +22,6 @@ class BigramModel:
     vocabulary: DataFrame
 
 
-def _window(opts: Options, whole: bool) -> Column:
-    words = tokens(full_text())
-    return words if whole else F.slice(words, 1, opts.full_text_tokens)
-
-
 def _adjacent(words: str) -> Column:
     # Pair each token with its successor inside the row; no window or shuffle is needed.
     n = F.size(words)
@@ -35,21 +30,18 @@ def _adjacent(words: str) -> Column:
         F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("w"))
 
 
-def bigrams(chains: DataFrame, opts: Options, whole: bool = False) -> DataFrame:
-    """``seq, v, w``: adjacent tokens of the full text.
-
-    The text window is the configured one; ``whole`` reads the entire text instead.
-    """
-    return chains.select("seq", _window(opts, whole).alias("_words")).select(
+def bigrams(chains: DataFrame) -> DataFrame:
+    """``seq, v, w``: adjacent tokens of the whole full text."""
+    return chains.select("seq", tokens(full_text()).alias("_words")).select(
         "seq", F.inline(_adjacent("_words"))).toDF("seq", "v", "w")
 
 
-def fit_bigram(train: DataFrame, opts: Options, whole: bool = False) -> BigramModel:
+def fit_bigram(train: DataFrame) -> BigramModel:
     """Count tokens and adjacent pairs; every count is combined on the map side.
 
     The pair counts are written to the scratch folder once, as the fitted model.
     """
-    pairs = bigrams(train, opts, whole).groupBy("v", "w").agg(F.count("*").alias("n"))
+    pairs = bigrams(train).groupBy("v", "w").agg(F.count("*").alias("n"))
     pairs = materialise(pairs, "pairs")
     firsts = pairs.groupBy("v").agg(F.sum("n").alias("n"))
     # A chain has at least six tokens, so every token is part of some pair.
@@ -57,17 +49,10 @@ def fit_bigram(train: DataFrame, opts: Options, whole: bool = False) -> BigramMo
     return BigramModel(pairs, firsts, words.distinct())
 
 
-def score_bigram(model: BigramModel, test: DataFrame, opts: Options,
-                 whole: bool = False) -> DataFrame:
-    """``seq, nll``: mean of -ln P(w|v) over each document's adjacent pairs.
-
-    Probabilities are looked up once per distinct test pair. Frequent first words and
-    frequent pairs are kept out of the shuffled joins (see lookup_counted).
-    """
+def _losses(model: BigramModel, wanted: DataFrame, opts: Options) -> DataFrame:
+    """The rows of ``wanted`` (distinct v, w) with their ``nll``."""
     alpha = opts.smoothing
     vocabulary = model.vocabulary.select(F.count("*") + 1).scalar()
-    seen = bigrams(test, opts, whole)
-    wanted = materialise(seen.groupBy("v", "w").agg(F.count("*").alias("n")), "wanted")
     with_pairs = wanted.join(
         model.pairs.withColumnRenamed("n", "pair_n"), ["v", "w"], "left")
     firsts = wanted.groupBy("v").agg(F.count("*").alias("n")).join(
@@ -75,7 +60,36 @@ def score_bigram(model: BigramModel, test: DataFrame, opts: Options,
     counted = lookup_counted(with_pairs, firsts, ["v"], spread=["w"])
     probability = ((F.coalesce("pair_n", F.lit(0)) + alpha)
                    / (F.coalesce("first_n", F.lit(0)) + alpha * vocabulary))
-    losses = counted.select("v", "w", "n", (-F.log(probability)).alias("nll"))
+    return counted.select(*wanted.columns, (-F.log(probability)).alias("nll"))
+
+
+def corpus_perplexity(model: BigramModel, test: DataFrame, opts: Options) -> DataFrame:
+    """``perplexity, avg_nll`` of whole documents, each counting the same.
+
+    A pair weighs the sum of its shares of the documents it stands in, combined on the map
+    side, so losses meet distinct pairs only and no token crosses the network with its
+    document.
+    """
+    words = test.select(tokens(full_text()).alias("_words")).where(F.size("_words") > 1)
+    share = 1.0 / (F.size("_words") - 1)
+    seen = words.select(share.alias("_share"), F.inline(_adjacent("_words"))).toDF("_share", "v", "w")
+    wanted = materialise(seen.groupBy("v", "w").agg(F.sum("_share").alias("_weight")), "wanted")
+    # The weights of a document's pairs sum to one, so all weights sum to the documents.
+    both = _losses(model, wanted, opts).agg(
+        F.sum(F.col("_weight") * F.col("nll")).alias("_sum"), F.sum("_weight").alias("_docs"))
+    return both.select(F.coalesce(F.try_divide("_sum", "_docs"), F.lit(0.0)).alias("avg_nll")
+                       ).select(F.exp("avg_nll").alias("perplexity"), "avg_nll")
+
+
+def score_bigram(model: BigramModel, test: DataFrame, opts: Options) -> DataFrame:
+    """``seq, nll``: mean of -ln P(w|v) over each document's adjacent pairs.
+
+    Probabilities are looked up once per distinct test pair. Frequent first words and
+    frequent pairs are kept out of the shuffled joins (see lookup_counted).
+    """
+    seen = bigrams(test)
+    wanted = materialise(seen.groupBy("v", "w").agg(F.count("*").alias("n")), "wanted")
+    losses = _losses(model, wanted, opts)
     scored = lookup_counted(seen, losses, ["v", "w"], spread=["seq"])
     return scored.groupBy("seq").agg(F.avg("nll").alias("nll"))
 

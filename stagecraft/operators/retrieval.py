@@ -14,7 +14,6 @@ K1 = 1.5
 B = 0.75
 EPSILON = 0.25
 
-SCORE_DIGITS = 6
 _CONTEXT_POS = -1
 
 
@@ -68,10 +67,11 @@ def dense_scores(pools: DataFrame, contexts: DataFrame, opts: Options, *,
     return joined.select("pool_id", "pos", "is_true", dot("_pred", "_vec").alias("score"))
 
 
-def rank_candidates(scored: DataFrame) -> DataFrame:
-    """Rank 1 is the best score; equal scores (to 6 digits) keep their pool order."""
-    best = Window.partitionBy("pool_id").orderBy(
-        F.desc(F.round("score", SCORE_DIGITS) + 0.0), "pos")
+def rank_candidates(scored: DataFrame, digits: int | None = None) -> DataFrame:
+    """Rank 1 is the best score; equal scores keep their pool order. Scores are rounded
+    first only where the caller gives ``digits``."""
+    score = F.col("score") if digits is None else F.round("score", digits)
+    best = Window.partitionBy("pool_id").orderBy(F.desc(score + 0.0), "pos")
     return scored.withColumn("rank", F.row_number().over(best))
 
 
@@ -83,6 +83,6 @@ def retrieval_metrics(ranked: DataFrame) -> DataFrame:
         F.avg(1.0 / rank).alias("mrr"))
 
 
-def bm25_recall(scored: DataFrame) -> DataFrame:
-    return rank_candidates(scored).where("is_true").agg(
+def bm25_recall(scored: DataFrame, digits: int | None = None) -> DataFrame:
+    return rank_candidates(scored, digits).where("is_true").agg(
         F.avg((F.col("rank") == 1).cast("double")).alias("recall_at_1"))

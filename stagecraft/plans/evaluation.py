@@ -37,7 +37,8 @@ def surprise_rows(test: DataFrame, opts: Options, encoder: Encoder | None = None
 
 
 def evaluate_all(train: DataFrame, test: DataFrame, opts: Options, *,
-                 encoder: Encoder | None = None, with_rank: bool = True) -> DataFrame:
+                 encoder: Encoder | None = None, with_rank: bool = True,
+                 digits: int | None = None) -> DataFrame:
     """``family, metric, value`` for perplexity, embedding health, F1 and F2.
 
     Pools are built once and read by both scorers. Pass shard tables (see
@@ -45,9 +46,9 @@ def evaluate_all(train: DataFrame, test: DataFrame, opts: Options, *,
     """
     parts = []
     if opts.eval_perplexity:
-        scored = lm.score_bigram(lm.fit_bigram(train, opts),
-                                 head_n(test, opts.perplexity_eval_examples), opts)
-        parts.append(_long(lm.perplexity(scored), "perplexity", "perplexity", "avg_nll"))
+        scored = lm.corpus_perplexity(lm.fit_bigram(train),
+                                      head_n(test, opts.perplexity_eval_examples), opts)
+        parts.append(_long(scored, "perplexity", "perplexity", "avg_nll"))
 
     sample = head_n(test.select("seq", "result"), opts.collapse_eval_examples)
     vectors = encode(sample, "result", "vec", opts, encoder=encoder)
@@ -61,17 +62,17 @@ def evaluate_all(train: DataFrame, test: DataFrame, opts: Options, *,
         pools.build_pools(test, opts.n_distractors, opts.seed), "pools")
     context = pools.contexts(test)
     dense = retrieval.rank_candidates(
-        retrieval.dense_scores(candidates, context, opts, encoder=encoder))
+        retrieval.dense_scores(candidates, context, opts, encoder=encoder), digits)
     parts.append(_long(retrieval.retrieval_metrics(dense), "F1_model",
                        "recall_at_1", "recall_at_5", "mrr"))
-    parts.append(_long(retrieval.bm25_recall(retrieval.bm25_scores(candidates, context)),
+    parts.append(_long(retrieval.bm25_recall(retrieval.bm25_scores(candidates, context), digits),
                        "F1_bm25", "recall_at_1"))
 
     rows = materialise(surprise_rows(test, opts, encoder), "surprise")
     labelled = labels.citation_labels(rows, opts)
-    parts.append(_long(association.spearman(rows, "surprise", "citations", "seq"), "F2",
+    parts.append(_long(association.spearman(rows, "surprise", "citations", "seq", digits), "F2",
                        "spearman_rho", "spearman_p"))
-    parts.append(_long(association.auroc(labelled, "label", "surprise"), "F2", "auroc"))
+    parts.append(_long(association.auroc(labelled, "label", "surprise", digits), "F2", "auroc"))
     parts.append(_long(labels.positive_rate(labelled), "F2", "positive_rate"))
     report = parts[0]
     for part in parts[1:]:
@@ -88,7 +89,7 @@ def training_losses(train: DataFrame, opts: Options, *,
     ordered = block_shuffle(train.select("seq", "id", "split"), opts.shuffle_buffer, opts.seed)
     batches = materialise(
         assign_batches(ordered, opts.batch_size).select("seq", "batch_id"), "batches")
-    scored = lm.score_bigram(lm.fit_bigram(train, opts), train, opts)
+    scored = lm.score_bigram(lm.fit_bigram(train), train, opts)
     nll = batches.join(scored, "seq").groupBy("batch_id").agg(F.avg("nll").alias("nll"))
     if not opts.edge_loss_enabled:
         return nll.select("batch_id", "nll", F.col("nll").alias("loss"))

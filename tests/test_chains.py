@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from stagecraft.config import Options
 from stagecraft.operators import chains
 
-OPTS = Options()
+OPTS = Options(max_stage_chars=1000)
 STAGE_COLUMNS = [c for _, c in OPTS.stage_columns]
 
 

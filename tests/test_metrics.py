@@ -130,7 +130,7 @@ def test_bigram_model_by_hand(spark):
     size = len({w for t in texts[0] for w in t}) + 1
     t = texts[1][0]
     want = np.mean([-math.log((pairs[p] + .5) / (firsts[p[0]] + .5 * size)) for p in zip(t, t[1:])])
-    scored = lm.score_bigram(lm.fit_bigram(train, opts), test, opts)
+    scored = lm.score_bigram(lm.fit_bigram(train), test, opts)
     assert scored.first()["nll"] == pytest.approx(want, abs=1e-12)
     assert lm.perplexity(scored).first()["perplexity"] == pytest.approx(math.exp(want))
     empty = lm.perplexity(scored.where("seq < 0")).first()

@@ -70,8 +70,10 @@ def test_edges_are_exploded_not_joined(spark):
 
 
 def test_contract(spark):
+    from stagecraft.catalog.queries import QUERIES
+
     assert set(contract.oracle_sql()) < set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {
+    assert set(QUERIES) - set(contract.oracle_sql()) == {
         "effective_rank", "evaluate_all_with_rank"}
     rows = contract.entry(spark).collect()
     assert rows and all(0 <= r["positive_rate"] <= 1 for r in rows)
@@ -89,3 +91,25 @@ def test_queries_agree_with_duckdb(spark, name):
     expected = sorted(map(repr, want.fetchall()))
     got = contract.queries()[name](spark, SMALL).select(*names).collect()
     assert sorted(repr(tuple(r)) for r in got) == expected
+
+
+def test_no_text_is_cut_by_default(spark):
+    from pyspark.sql import functions as F
+    from stagecraft.catalog import fixtures
+    from stagecraft.config import Options
+    from stagecraft.operators import chains, lm
+    sf_dir = "/root/testdata/sf0.001"
+    papers = fixtures.papers(spark, sf_dir)
+    built = chains.build_chains(papers, Options())
+    long = papers.select(F.col("seq"), F.length(F.trim("methodological_details")).alias("n")).where("n > 1000")
+    kept = built.select("seq", F.length("method").alias("m")).join(long, "seq").where("m < n")
+    assert long.count() and not kept.count()
+    tokens = built.selectExpr("sum(size(split(concat_ws(' ', title, hypothesis, method, experiment, "
+                              "result, conclusion), '[ \\\\t\\\\r\\\\n]+')) - 1)").first()[0]
+    assert lm.bigrams(built).count() == tokens
+
+
+def test_close_scores_are_not_tied(spark):
+    from stagecraft.operators import association
+    rows = spark.createDataFrame([(1e-8, 1), (2e-8, 0), (3e-8, 0), (4e-8, 0)], "s double, label int")
+    assert association.auroc(rows, "label", "s").first()[0] == 0.0

@@ -70,9 +70,7 @@ def test_signature_covers_content_settings_only():
     base = Options().signature()
     assert len(base) == 10 and base == Options(seed=5, batch_size=9).signature()
     assert base != Options(max_stage_chars=10).signature() != Options(test_year=1).signature()
-    assert Options().tier("FT").max_train_examples == 50_000
-    with pytest.raises(ValueError):
-        Options().tier("huge")
+    assert base != Options(seq_column="n").signature() != Options(fallback_year_column="y").signature()
 
 
 @pytest.mark.parametrize("opts", [
