@@ -71,16 +71,21 @@ class Bands:
             edges.append(max(edges[-1] + 1, (edges[-1] - 1) * 100 // self.percent + 1))
         return int(np.searchsorted(edges, size, "right")) - 1
 
-    def parts(self, band: int) -> int:
-        """One more than the most n-grams that differ if the smaller set is in the band."""
+    def most(self, band: int) -> int:
+        """The most n-grams in which two sets differ if the smaller one is in the band."""
         self.of(self.edges[-1]) if band + 1 >= len(self.edges) else None
         small = self.edges[band + 1] - 1
         both = small + small * 100 // self.percent
-        return both * (100 - self.percent) // (100 + self.percent) + 1
+        return both * (100 - self.percent) // (100 + self.percent)
 
 
-def part_digests(grams: np.ndarray, band: int, parts: int) -> np.ndarray:
-    """Digest of each part of the set, tied to band and place of the part."""
+def part_digests(grams: np.ndarray, band: int, most: int) -> np.ndarray:
+    """Digests of the parts of the set, tied to band and place of the part.
+
+    There are more parts than n-grams may differ. If more than ``most`` parts are not
+    empty, one of those agrees with a partner's, and empty parts need not be listed.
+    """
+    parts = most + 1 + -(-most // 8)
     own = mix(grams + np.uint64(0xA5A5A5A5))
     place = (own >> np.uint64(20)) % np.uint64(parts)
     place = place.astype(np.int64)
@@ -89,7 +94,8 @@ def part_digests(grams: np.ndarray, band: int, parts: int) -> np.ndarray:
         piece = ((own >> np.uint64(shift)) & np.uint64((1 << 22) - 1)).astype(np.float64)
         total = np.bincount(place, weights=piece, minlength=parts).astype(np.uint64)
         out = mix(out + total + np.uint64(1))
-    return out
+    full = np.bincount(place, minlength=parts) > 0
+    return out[full] if full.sum() > most else out
 
 
 def heads(docs: DataFrame, n: int) -> DataFrame:
@@ -121,8 +127,8 @@ def listed(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     seen[node] = (seen[node][0], seen[node][1] + 1)
                 elif node is not None:
                     band = bands.of(len(grams))
-                    digests = [part_digests(grams, b, bands.parts(b))
-                               for b in (band, band - 1) if b >= 0 and bands.parts(b) > 1]
+                    digests = [part_digests(grams, b, bands.most(b))
+                               for b in (band, band - 1) if b >= 0 and bands.most(b) > 0]
                     seen[node] = (np.concatenate(digests) if digests else grams[:0], 1)
             sizes = [len(d) for d, _ in seen.values()]
             if sum(sizes):
