@@ -7,8 +7,9 @@ node. The join loses no link:
    cut into one part more than that (by n-gram hash), they agree on a whole part. Each node
    is listed under the digests of its parts, for its own band of sizes and the one below.
    Nodes met under no common digest are not linked.
-2. Hubs. In each list the node with the most copies is verified against the others, so
-   most groups of near copies are connected by as many pairs as they have members.
+2. Hubs. In each list the node with the most copies is verified against the others (after
+   the bound of 3 on their points), so most groups of near copies are connected by as many
+   pairs as they have members.
 3. Count-vector R-tree. N-grams are hashed into ``DIMS`` groups; the group counts of a set
    are its point. Lists that still hold several components get a packed R-tree; pairs of
    tree nodes are pruned when they lie in one component or when the sum of the smaller
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from stagecraft.llm.words import batched, gram_hashes, mix, run_hashes, signed, word_hashes
 from stagecraft.scratch import materialise
 
-DIMS, FANOUT, TILE = 32, 16, 20_000
+DIMS, WIDTH, FANOUT, TILE = 256, 8, 16, 20_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -155,22 +156,57 @@ def lists(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return marked.where("_kinds > 1").select("part", "node", F.col("_top.node").alias("hub"))
 
 
+def packed_point(grams: np.ndarray) -> bytes:
+    """The group counts, one byte each after a byte that says how often they were halved
+    (rounded up, so that bounds still hold) to fit."""
+    counts, halved = np.bincount((mix(grams) % np.uint64(DIMS)).astype(np.int64), minlength=DIMS), 0
+    while counts.max() > 255:
+        counts, halved = (counts + 1) // 2, halved + 1
+    return bytes([halved]) + counts.astype(np.uint8).tobytes()
+
+
+def unpacked(points: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(points), np.uint8).reshape(-1, DIMS + 1).astype(np.int32)
+    return raw[:, 1:] << raw[:, :1]
+
+
 def sets_of(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """node, grams and point of the nodes in ``reps`` (node, rep: an id that has it)."""
-    schema = pa.schema([("node", pa.int64()), ("grams", pa.list_(pa.int64())),
-                        ("point", pa.list_(pa.int32()))])
+    """node, size, grams and point of the nodes in ``reps`` (node, rep: an id that has it)."""
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("grams", pa.list_(pa.int64())),
+                        ("point", pa.binary())])
 
-    def fill(batch):
-        for node, text in zip(batch["node"].to_pylist(), batch["text"].to_pylist()):
-            grams = gram_set(text, n)
-            if node_id(grams) == node:
-                yield node, signed(grams), np.bincount(
-                    (mix(grams) % np.uint64(DIMS)).astype(np.int64), minlength=DIMS)
+    def run(batches):
+        seen: set[int] = set()  # rows of one id meet in one task
+
+        def fill(batch):
+            for node, text in zip(batch["node"].to_pylist(), batch["text"].to_pylist()):
+                grams = gram_set(text, n) if node not in seen else None
+                if grams is not None and node_id(grams) == node:
+                    seen.add(node)
+                    yield node, len(grams), signed(grams), packed_point(grams)
+
+        yield from batched(schema, fill, 200)(batches)
 
     wanted = docs.select(F.col("doc_id").cast("bigint"), "text").join(
         reps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    return wanted.mapInArrow(batched(schema, fill, 200),
-                             "node bigint, grams array<bigint>, point array<int>")
+    return wanted.mapInArrow(run, "node bigint, size bigint, grams array<bigint>, point binary")
+
+
+def within_bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose points allow the similarity; the sets are not moved for it."""
+    both = pairs
+    for side in "ab":
+        own = sets.select(F.col("node").alias(side), F.col("size").alias(f"_size_{side}"),
+                          F.col("point").alias(f"_point_{side}"))
+        both = both.join(own.hint("merge"), side)
+
+    def run(batches):
+        for batch in batches:
+            overlap = np.minimum(*(unpacked(batch[f"_point_{x}"].to_pylist()) for x in "ab")).sum(axis=1)
+            least = _needed(*(batch[f"_size_{x}"].to_numpy() for x in "ab"), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(overlap >= least))
+
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -223,8 +259,9 @@ def tree_levels(points, sizes, marks):
 
 def close_pairs(points: np.ndarray, sizes: np.ndarray, marks: np.ndarray, percent: int):
     """Pairs of points of different marks whose summed coordinate minima reach the overlap."""
-    order = np.lexsort((points[:, 0], sizes, marks))
-    levels = tree_levels(points[order], sizes[order], marks[order])
+    sums = np.add.reduceat(points, np.arange(0, points.shape[1], WIDTH), axis=1)
+    order = np.lexsort((sums[:, 0], sizes, marks))
+    levels = tree_levels(sums[order], sizes[order], marks[order])
     a = b = np.zeros(1, np.int64)
     for corner, least, mark in reversed(levels):
         kept_a, kept_b = [], []
@@ -239,7 +276,7 @@ def close_pairs(points: np.ndarray, sizes: np.ndarray, marks: np.ndarray, percen
             kept_a.append(i[good])
             kept_b.append(j[good])
         a, b = np.concatenate(kept_a), np.concatenate(kept_b)
-        if corner is points or len(least) == len(sizes):
+        if len(least) == len(sizes):
             break
         below = len(levels[[len(x[1]) for x in levels].index(len(least)) - 1][1])
         step = np.arange(FANOUT)
@@ -248,7 +285,13 @@ def close_pairs(points: np.ndarray, sizes: np.ndarray, marks: np.ndarray, percen
         fits = (i < below) & (j < below) & (i <= j)
         a, b = i[fits], j[fits]
     real = a != b
-    return order[a[real]], order[b[real]]
+    a, b = order[a[real]], order[b[real]]
+    close = [np.zeros(0, bool)]
+    for at in range(0, len(a), 1 << 12):
+        i, j = a[at : at + (1 << 12)], b[at : at + (1 << 12)]
+        close.append(np.minimum(points[i], points[j]).sum(axis=1) >= _needed(sizes[i], sizes[j], percent))
+    close = np.concatenate(close)
+    return a[close], b[close]
 
 
 def tree_join(lists_: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -263,7 +306,7 @@ def tree_join(lists_: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     facing = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_tiles") - 1),
                          lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
     members = marked.join(open_.select("part", tiles.alias("_tiles")).hint("merge"), "part")
-    points = sets.select("node", F.size("grams").alias("size"), "point")
+    points = sets.select("node", "size", "point")
     full = members.select("part", "node", "label", F.explode(facing).alias("_t")).select(
         "part", "_t.i", "_t.j", "node", "label").join(points.hint("merge"), "node")
     count = int(lists_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -288,8 +331,8 @@ def tree_join(lists_: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
                 continue
             keys = np.stack([batch[c].to_numpy() for c in ("part", "i", "j")], axis=1)
             starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
-            columns = (batch["node"].to_numpy(), batch["label"].to_numpy(), batch["size"].to_numpy().astype(np.int64),
-                       batch["point"].flatten().to_numpy().astype(np.int64).reshape(-1, DIMS))
+            columns = (batch["node"].to_numpy(), batch["label"].to_numpy(), batch["size"].to_numpy(),
+                       unpacked(batch["point"].to_pylist()))
             for start, end in zip(starts, [*starts[1:], len(keys)]):
                 if key is None or (keys[start] != key).any():
                     if held:
@@ -314,9 +357,9 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFrame, Da
     involved = shared.select("node").distinct()
     reps = head.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep")).join(
         involved.hint("merge"), "node")
-    sets = materialise(sets_of(docs, reps, n).dropDuplicates(["node"]), "sets")
+    sets = materialise(sets_of(docs, reps, n), "sets")
     star = shared.where("node <> hub").select(*pair_order()).distinct()
-    first = materialise(verified(star, sets, percent), "links")
+    first = materialise(verified(within_bound(star, sets, percent), sets, percent), "links")
     rest = tree_join(shared, components(first), sets, percent)
     second = materialise(verified(rest, sets, percent), "links")
     return head, first.unionAll(second)
