@@ -7,70 +7,60 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SERIES_MAX_DF = 1000
-_NORMAL_TERMS = 200
+# Expansion of gamma(a + 1/2) / (gamma(a) sqrt(a)) in powers of 1/a.
+_RATIO = (1.0, -1 / 8, 1 / 128, 5 / 1024, -21 / 32768, -399 / 262144, 869 / 4194304)
+_SHIFT = 30
+_TERMS = 60  # enough for full precision at any df
 
 
 def t_two_sided_p(t: Column, df: Column) -> Column:
-    """P(|T| >= |t|) for integer degrees of freedom; null df < 1 gives NaN.
+    """P(|T| >= |t|) for df of 1 or more; null or smaller df and null t give NaN.
 
-    Up to 1000 degrees of freedom this is the finite trigonometric series
-    (Abramowitz & Stegun 26.7.3-4). Beyond, Hill's normal expansion (1970) is used,
-    whose error there is far below the series' rounding error.
+    This is the regularised incomplete beta function I_x(df/2, 1/2) at x = df/(df + t^2),
+    by a continued fraction, from the side on which that converges fast. Small p come
+    from the direct side, so they keep their relative accuracy down to the smallest double.
     """
-    size = F.abs(t.cast("double"))
-    p = F.when(df <= _SERIES_MAX_DF, _series(size, df)).otherwise(_hill(size, df))
-    clipped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
+    size, nu = F.abs(t.cast("double")), F.greatest(F.lit(1.0), df.cast("double"))
+    a, b = nu / 2, F.lit(0.5)
+    scaled = size / F.sqrt(nu)
+    square = scaled * scaled
+    x, rest = 1 / (1 + square), square / (1 + square)
+    # x^a (1-x)^(1/2) / B(a, 1/2)
+    front = F.exp(-a * F.log1p(square)) * F.sqrt(rest) * _gamma_ratio(a) / math.sqrt(math.pi)
+    p = (F.when(rest > 1.5 / (a + 2.5), front / _fraction(x, rest, a, b))
+         .otherwise(1 - front / _fraction(rest, x, b, a)))
+    far = (size == math.inf) | (square == math.inf)
     return (F.when(t.isNull() | F.isnan(t) | df.isNull() | (df < 1), F.lit(math.nan))
-            .when(size == math.inf, F.lit(0.0))
-            .otherwise(clipped))
-
-
-def _series(t: Column, df: Column) -> Column:
-    # Term k multiplies the previous one by cos^2 and by (2k-1)/(2k) for even df,
-    # 2k/(2k+1) for odd df.
-    nu = F.greatest(F.lit(1), F.least(df, F.lit(_SERIES_MAX_DF))).cast("int")
-    odd = nu % 2
-    cos2 = nu / (nu + t * t)
-    sine = t / F.sqrt(nu + t * t)
-    last = F.when(odd == 1, (nu - 3) / 2).otherwise((nu - 2) / 2).cast("int")
-    steps = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(
-        F.array().cast("array<int>"))
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-
-    def step(acc, k):
-        term = acc["term"] * cos2 * (2 * k - 1 + odd) / (2 * k + odd)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    total = F.aggregate(steps, start, step, lambda acc: acc["total"])
-    angle = F.atan(t / F.sqrt(nu.cast("double")))
-    inside = (F.when(odd == 0, sine * total)
-              .when(nu == 1, 2 / math.pi * angle)
-              .otherwise(2 / math.pi * (angle + sine * F.sqrt(cos2) * total)))
-    return 1.0 - inside
-
-
-def _hill(t: Column, df: Column) -> Column:
-    nu = F.greatest(F.lit(2.0), df.cast("double"))
-    a = nu - 0.5
-    b = 48.0 * a * a
-    z = F.sqrt(a * F.log1p(t * t / nu))
-    z2 = z * z
-    correction = (((4 * z2 + 33) * z2 + 240) * z2 + 855) * z / (10 * b * (b + 0.8 * z2 * z2 + 100))
-    return _normal_two_sided(z + (z2 + 3) * z / b - correction)
-
-
-def _normal_two_sided(z: Column) -> Column:
-    # 2*phi(z) * sum z^(2k+1)/(1*3*..*(2k+1)) is the mass inside +-z; past 12 the tail is
-    # below the smallest double difference from 1.
-    inside_z = F.least(z, F.lit(12.0))
-    start = F.struct(inside_z.alias("term"), inside_z.alias("total"))
-
-    def step(acc, k):
-        term = acc["term"] * inside_z * inside_z / (2 * k + 1)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(_NORMAL_TERMS)), start, step,
-                        lambda acc: acc["total"])
-    density = F.exp(-inside_z * inside_z / 2) / math.sqrt(2 * math.pi)
-    return 1.0 - 2.0 * density * total
+            .when(far, F.lit(0.0))
+            .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))))
+
+
+def _gamma_ratio(a: Column) -> Column:
+    """gamma(a + 1/2) / gamma(a): the expansion at a + _SHIFT, stepped down to a."""
+    at = a + _SHIFT
+    total = F.lit(0.0)
+    for coefficient in reversed(_RATIO):
+        total = total / at + coefficient
+    down = F.aggregate(F.sequence(F.lit(0), F.lit(_SHIFT - 1)), F.lit(1.0),
+                       lambda acc, k: acc * (a + k) / (a + k + 0.5))
+    # gamma(a+1/2)/gamma(a) = gamma(a+n+1/2)/gamma(a+n) * prod (a+k)/(a+k+1/2)
+    return F.sqrt(at) * total * down
+
+
+def _fraction(x: Column, rest: Column, a: Column, b: Column) -> Column:
+    """The fraction of Didonato and Morris (1992, equation 9) by Lentz's method: given
+    ``rest`` = 1 - x, it subtracts no nearly equal numbers."""
+    def level(m):
+        return (a + m) * (a * rest - b * x + 1 + m * (2 - x)) / (a + 2 * m + 1)
+
+    def step(acc, m):
+        at = a + 2 * m - 1
+        over = (a + m - 1) * (a + b + m - 1) * m * (b - m) * x * x / (at * at)
+        under = m + m * (b - m) * x / at + level(m)
+        d, c = 1 / (under + over * acc["d"]), under + over / acc["c"]
+        return F.struct(c.alias("c"), d.alias("d"), (acc["value"] * c * d).alias("value"))
+
+    first = level(F.lit(0))
+    start = F.struct(first.alias("c"), F.lit(0.0).alias("d"), first.alias("value"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_TERMS)), start, step,
+                       lambda acc: acc["value"])

@@ -27,16 +27,17 @@ def average_ranks(values: DataFrame, value: str, out: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str, row_id: str,
              digits: int | None = None) -> DataFrame:
-    """``spearman_rho, spearman_p, n`` over the rows of df.
+    """``spearman_rho, spearman_p, n`` over the rows of df that have both values.
 
     Values are ranked once per distinct value, then looked up; a value held by a third of
     all rows (0 citations, say) never meets in one task.
     """
     rows = df.select(F.col(row_id).alias("_row"), rank_value(x, digits).alias("_x"),
-                     rank_value(y, digits).alias("_y"))
+                     rank_value(y, digits).alias("_y")).where(
+        "_x IS NOT NULL AND _y IS NOT NULL")
     for value, rank in (("_x", "_rx"), ("_y", "_ry")):
         ranks = average_ranks(rows.select(value), value, rank)
-        rows = lookup_counted(rows, ranks, [value], spread=["_row"])
+        rows = lookup_counted(rows, ranks, [value])
     nan = F.lit(math.nan)
     # corr() itself raises on a constant column in ANSI mode.
     rho = F.coalesce(F.try_divide(F.covar_pop("_rx", "_ry"),
@@ -53,9 +54,11 @@ def spearman(df: DataFrame, x: str, y: str, row_id: str,
 def auroc(df: DataFrame, label: str, score: str, digits: int | None = None) -> DataFrame:
     """``auroc``: chance that a positive row outscores a negative one, ties counting half.
 
-    Rank-sum over distinct scores with their positive counts; NaN with one class only.
+    Rank-sum over distinct scores with their positive counts; NaN with one class only. Rows
+    without a score or a label do not count.
     """
-    counted = materialise(df.groupBy(rank_value(score, digits).alias("_s")).agg(
+    scored = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    counted = materialise(scored.groupBy(rank_value(score, digits).alias("_s")).agg(
         F.count("*").alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_pos")), "values")
     placed = running_total(counted, "_s", "_before", weight=F.col("_n"))
     mean_rank = F.col("_before") + (F.col("_n") + 1) / 2.0

@@ -42,7 +42,7 @@ def field_cuts(keys: DataFrame, cap: int, used: DataFrame | None = None) -> Data
 
 def within_field_cap(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """The rows the field cuts let through; test rows always pass."""
-    looked_up = lookup_counted(rows, cuts, ["field"], spread=["seq"])
+    looked_up = lookup_counted(rows, cuts, ["field"])
     fits = (F.col("room") > 0) & (F.col("cut").isNull() | (F.col("seq") <= F.col("cut")))
     return looked_up.where((F.col("split") != "train") | fits).select(*rows.columns)
 

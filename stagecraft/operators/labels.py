@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stagecraft.config import Options
+from stagecraft.functions.text import strip
 from stagecraft.operators.skew import lookup_counted
 
 MIN_FIELD_ROWS = 4
@@ -38,18 +39,24 @@ def citation_labels(chains: DataFrame, opts: Options) -> DataFrame:
         counted = chains.groupBy(value.alias("_value")).agg(F.count("*").alias("_n"))
         median = counted.select(F.percentile("_value", 0.5, F.col("_n"))).scalar()
         return chains.withColumn("label", (value > median).cast("int"))
-    thresholds = _field_thresholds(chains, value, opts.top_quantile)
-    labelled = lookup_counted(chains, thresholds, ["field"], spread=["seq"])
+    grouped = chains.withColumn("_field", _field_group())
+    thresholds = _field_thresholds(grouped, value, opts.top_quantile)
+    labelled = lookup_counted(grouped, thresholds, ["_field"])
     top = F.col("threshold").isNotNull() & (value >= F.col("threshold"))
-    return labelled.withColumn("label", top.cast("int")).drop("threshold")
+    return labelled.withColumn("label", top.cast("int")).drop("threshold", "_field")
+
+
+def _field_group() -> Column:
+    """A null or blank field counts as 'unknown'."""
+    return F.coalesce(F.nullif(strip(F.col("field")), F.lit("")), F.lit("unknown"))
 
 
 def _field_thresholds(chains: DataFrame, value: Column, quantile: float) -> DataFrame:
-    counted = chains.groupBy("field", value.alias("_value")).agg(F.count("*").alias("_n"))
-    per_field = counted.groupBy("field").agg(
+    counted = chains.groupBy("_field", value.alias("_value")).agg(F.count("*").alias("_n"))
+    per_field = counted.groupBy("_field").agg(
         F.sum("_n").alias("n"),
         F.percentile("_value", quantile, F.col("_n")).alias("_quantile"))
-    return per_field.select("field", "n", F.when(
+    return per_field.select("_field", "n", F.when(
         F.col("n") >= MIN_FIELD_ROWS, F.col("_quantile")).alias("threshold"))
 
 

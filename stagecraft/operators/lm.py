@@ -57,7 +57,7 @@ def _losses(model: BigramModel, wanted: DataFrame, opts: Options) -> DataFrame:
         model.pairs.withColumnRenamed("n", "pair_n"), ["v", "w"], "left")
     firsts = wanted.groupBy("v").agg(F.count("*").alias("n")).join(
         model.firsts.withColumnRenamed("n", "first_n"), "v", "left")
-    counted = lookup_counted(with_pairs, firsts, ["v"], spread=["w"])
+    counted = lookup_counted(with_pairs, firsts, ["v"])
     probability = ((F.coalesce("pair_n", F.lit(0)) + alpha)
                    / (F.coalesce("first_n", F.lit(0)) + alpha * vocabulary))
     return counted.select(*wanted.columns, (-F.log(probability)).alias("nll"))
@@ -90,7 +90,7 @@ def score_bigram(model: BigramModel, test: DataFrame, opts: Options) -> DataFram
     seen = bigrams(test)
     wanted = materialise(seen.groupBy("v", "w").agg(F.count("*").alias("n")), "wanted")
     losses = _losses(model, wanted, opts)
-    scored = lookup_counted(seen, losses, ["v", "w"], spread=["seq"])
+    scored = lookup_counted(seen, losses, ["v", "w"])
     return scored.groupBy("seq").agg(F.avg("nll").alias("nll"))
 
 

@@ -73,29 +73,27 @@ def running_total(df: DataFrame, key: str, out: str, *, weight: Column | None =
 
 
 def lookup_counted(big: DataFrame, lookup: DataFrame, keys: Sequence[str],
-                   spread: Sequence[str], count: str = "n") -> DataFrame:
-    """Inner-join ``big`` to ``lookup``, whose rows are the distinct keys of ``big`` with
-    their row counts in ``count``.
-
-    The lookup is written once and its size checked. A small one is broadcast. For a large
-    one, hot keys (at most HOT_SHARE of them) are answered from a broadcast, and their rows
-    get a salt that keeps them out of the shuffled join, where they would meet in one task.
+                   count: str = "n") -> DataFrame:
+    """Join ``big`` to ``lookup``, whose rows are the distinct keys of ``big`` (null among
+    them) with their row counts in ``count``. Rows without a partner go, null keys meet
+    each other; both whatever the size of the lookup.
+
+    The lookup is written once (a job) and its size checked. A small one is broadcast. For
+    a large one, ``big`` is read twice: rows of hot keys (at most HOT_SHARE keys) are
+    answered from a broadcast and never shuffled, all others go through a shuffled join.
     """
     keys = list(keys)
     lookup = materialise(lookup, "lookup")
     payload = [c for c in lookup.columns if c not in keys and c != count]
-    key_bytes = F.octet_length(F.concat(*[F.col(k).cast("string") for k in keys]))
+    key_bytes = F.octet_length(F.concat_ws("", *[F.col(k).cast("string") for k in keys]))
     size, key_size, total = lookup.agg(
         F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in (key_bytes, F.col(count))]).first()
+    found = lookup.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *payload, F.col(count).alias("_count"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    wanted = [*big.columns, *payload]
     if size <= BROADCAST_ROWS and key_size <= BROADCAST_KEY_BYTES:
-        return big.join(F.broadcast(lookup.drop(count)), keys).select(*big.columns, *payload)
-    is_hot = F.col(count) * HOT_SHARE >= total
-    hot = lookup.where(is_hot).select(
-        *keys, *[F.col(c).alias(f"_hot_{c}") for c in payload], F.lit(True).alias("_hot"))
-    cold = lookup.where(~is_hot).select(*keys, *payload, F.lit(0).alias("_salt"))
-    marked = big.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), 1 + salt_of(*spread)).otherwise(F.lit(0)))
-    joined = marked.join(cold, [*keys, "_salt"], "left")
-    return joined.select(*big.columns, *[
-        F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c)
-        for c in payload])
+        return big.join(F.broadcast(found), same).select(*wanted)
+    is_hot = F.col("_count") * HOT_SHARE >= total
+    hot, cold = found.where(is_hot), found.where(~is_hot)
+    cold_rows = big.join(F.broadcast(hot.drop(*payload)), same, "left_anti").join(cold, same)
+    return big.join(F.broadcast(hot), same).select(*wanted).unionAll(cold_rows.select(*wanted))

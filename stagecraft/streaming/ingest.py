@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stagecraft.config import Options
 from stagecraft.plans.dataset import capped, split_chains
+from stagecraft.scratch import materialise
 from stagecraft.sources.shards import write_shards
 
-_COUNTS = "split string, field string, n bigint, batch_id bigint"
+_COUNTS = "split string, field string, n bigint"
 
 
 def ingest_stream(papers: DataFrame, out: str, checkpoint: str, opts: Options) -> StreamingQuery:
     """Write every available paper once to ``out/chains`` and stop.
 
-    Chains are built statelessly; the caps go on from the counts of earlier batches. Each
-    micro-batch owns one ``batch_id`` directory that a replay overwrites, and reads counts
-    of smaller batch ids only, so a lost executor or restarted query changes nothing.
+    Chains are built statelessly; the caps go on from the counts up to the batch before,
+    which that batch wrote. Each micro-batch owns one ``batch_id`` directory that a replay
+    overwrites, so a lost executor or restarted query changes nothing; missing counts of
+    the batch before are an error. A micro-batch is read once and kept as a table.
     """
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         _write_batch(batch, batch_id, out, opts)
@@ -39,20 +40,17 @@ def _write_batch(batch: DataFrame, batch_id: int, out: str, opts: Options) -> No
     written = {r["split"]: r["n"] for r in
                done.groupBy("split").agg(F.sum("n").alias("n")).take(2)}
     fields = done.where("split = 'train'").groupBy("field").agg(F.sum("n").alias("n"))
-    kept = capped(batch, opts, used_fields=fields, used_splits=written)
+    kept = capped(materialise(batch, "batch"), opts, used_fields=fields, used_splits=written)
     chains = f"{out}/chains/batch_id={batch_id}"
     write_shards(kept, chains, opts)
-    counts = spark.read.schema(batch.schema).parquet(chains).groupBy("split", "field").agg(
+    added = spark.read.schema(batch.schema).parquet(chains).groupBy("split", "field").agg(
         F.count("*").alias("n"))
-    counts.write.mode("overwrite").parquet(f"{out}/counts/batch_id={batch_id}")
+    upto = done.unionByName(added).groupBy("split", "field").agg(F.sum("n").alias("n"))
+    upto.write.mode("overwrite").parquet(f"{out}/counts/batch_id={batch_id}")
 
 
 def _counts_before(spark: SparkSession, out: str, batch_id: int) -> DataFrame:
-    if batch_id > 0:
-        try:
-            found = spark.read.schema(_COUNTS).parquet(f"{out}/counts")
-            return found.where(F.col("batch_id") < batch_id)
-        except AnalysisException:
-            pass
-    return spark.createDataFrame([], _COUNTS)
-
+    """Rows written by all earlier batches; the ids of a query's batches have no gaps."""
+    if batch_id == 0:
+        return spark.createDataFrame([], _COUNTS)
+    return spark.read.schema(_COUNTS).parquet(f"{out}/counts/batch_id={batch_id - 1}")

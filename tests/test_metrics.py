@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from conftest import make_chains
 from stagecraft.config import Options
 from stagecraft.functions import vectors
-from stagecraft.functions.significance import _hill, _series, t_two_sided_p
-from stagecraft.operators import association, health, labels, lm, losses, studies
+from stagecraft.functions.significance import t_two_sided_p
+from stagecraft.operators import association, health, labels, lm, losses, skew, studies
 
 
 def unit_rows(n, d, seed=0):
@@ -155,15 +155,36 @@ def test_t_distribution(spark):
                                    "t double, n bigint")
     for r in points.select("t", "n", t_two_sided_p(F.col("t"), F.col("n")).alias("p")).collect():
         assert r["p"] == pytest.approx(integrated(r["t"], r["n"]), abs=2e-9)
-    both = spark.createDataFrame([(t, n) for t in (0.1, 1.0, 3.0, 9.0) for n in (400, 999, 1000)],
-                                 "t double, n bigint")
-    for r in both.select(_series(F.col("t"), F.col("n")).alias("a"),
-                         _hill(F.col("t"), F.col("n")).alias("b")).collect():
-        assert r["a"] == pytest.approx(r["b"], abs=1e-9)
+    # Closed forms without cancellation; at a billion degrees the tail is the normal one.
+    tail = {(t, 1): 2 / math.pi * math.atan(1 / t) for t in (3.0, 1e6, 1e150)}
+    tail |= {(t, 2): 2 / ((2 + t * t) * (1 + t / math.sqrt(2 + t * t))) for t in (9.0, 1e6, 1e100)}
+    tail |= {(t, 10**12): math.erfc(t / math.sqrt(2)) for t in (0.5, 9.0, 13.0, 30.0)}
+    points = spark.createDataFrame(list(tail), "t double, n bigint")
+    for r in points.select("t", "n", t_two_sided_p(F.col("t"), F.col("n")).alias("p")).collect():
+        assert r["p"] == pytest.approx(tail[r["t"], r["n"]], rel=1e-6, abs=0)
     odd = spark.createDataFrame([(None, 3), (float("nan"), 3), (1.0, 0)], "t double, n bigint")
     assert all(math.isnan(r[0]) for r in odd.select(t_two_sided_p(F.col("t"), F.col("n"))).collect())
 
 
+@pytest.mark.parametrize("broadcast_rows", [50_000, 0])
+def test_null_fields_and_scores(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", broadcast_rows)
+    rows = [(k, [None, " ", "unknown", "f"][k % 4], k) for k in range(20)]
+    chains = spark.createDataFrame(rows, "seq bigint, field string, citations bigint")
+    got = labels.citation_labels(chains, Options()).collect()
+    unknown = [c for _, f, c in rows if f != "f"]
+    assert len(got) == 20 and all(
+        r["label"] == (r["citations"] >= np.quantile(unknown, 0.75)) for r in got if r["field"] != "f")
+    scores = spark.createDataFrame([(k, None if k < 4 else float(k), float(k % 5)) for k in range(20)],
+                                   "id bigint, x double, y double")
+    with_nulls = association.spearman(scores, "x", "y", "id").first()
+    assert with_nulls == association.spearman(scores.where("x IS NOT NULL"), "x", "y", "id").first()
+    assert with_nulls["n"] == 16
+    tiny = spark.createDataFrame([(k * 1e-8, int(k == 1)) for k in (1, 2, 3, 4)] + [(None, 1)],
+                                 "s double, positive int")
+    assert association.auroc(tiny, "positive", "s").first()["auroc"] == 0.0
+
+
 def runs_frame(spark, values):
     rows = [("s", v, k, float(x)) for v, xs in values.items() for k, x in enumerate(xs)]
     return spark.createDataFrame(rows, "study string, variant string, seed int, perplexity double")
