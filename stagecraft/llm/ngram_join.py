@@ -366,26 +366,31 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFrame, Da
 
 
 def grouped(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id, and hash of the text and node of each row."""
+    """doc_id, n_shingles, component_id, and hash of the text, node and the component's label
+    of each row (both null for the empty set)."""
     head, found = links(docs, n, percent)
     reps = head.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     named = reps.join(components(found).hint("merge"), "node", "left").select(
         "node", "rep", F.coalesce("label", "node").alias("label"))
     lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_node = named.join(lowest.hint("merge"), "label").select(F.col("node").alias("_node"), "component_id")
+    of_node = named.join(lowest.hint("merge"), "label").select(
+        F.col("node").alias("_node"), "label", "component_id")
     return head.join(of_node.hint("merge"), F.col("node") == F.col("_node"), "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-        .alias("component_id"), "tag", "node")
+        .alias("component_id"), "tag", "node", "label")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component, all columns kept: that with the component's doc_id, of
-    rows with the same id the one with the smallest hash of its text. Rows with null ids
-    stay only where their component has no other id."""
-    kept = grouped(docs, n, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy("doc_id").agg(F.min("tag").alias("_tag")).withColumnRenamed(
-        "doc_id", "_kept_id")
-    rows = docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept_id"))
-                     & (F.xxhash64("text") == F.col("_tag")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """One row of each component, all columns kept: that with the smallest doc_id, null ids
+    last, of rows with the same id the one with the smallest hash of its text. Ids do not
+    make components: unlinked texts stay, whether they share an id or have none. Texts
+    with the empty set are linked with nothing; of equal rows of them one stays."""
+    alone = F.when(F.col("label").isNull(), F.struct("doc_id", "tag"))
+    kept = grouped(docs, n, percent).groupBy("label", alone.alias("_alone")).agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("_none"), "doc_id", "tag")).alias("_first")).select(
+        F.col("_first.doc_id").alias("_kept_id"), F.col("_first.tag").alias("_kept_tag"))
+    rows = docs.withColumn("_tag", F.xxhash64("text")).join(
+        kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept_id"))
+        & (F.col("_tag") == F.col("_kept_tag")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_tag"]).drop("_tag")

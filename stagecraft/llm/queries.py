@@ -71,7 +71,7 @@ def op7_bm25_decontamination(spark, sf_dir):
 
 @query
 def op9_ngram_jaccard(spark, sf_dir):
-    return ngram_join.grouped(table(spark, sf_dir, "documents")).drop("tag", "node")
+    return ngram_join.grouped(table(spark, sf_dir, "documents")).drop("tag", "node", "label")
 
 
 @query

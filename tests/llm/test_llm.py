@@ -282,6 +282,17 @@ def test_join_matches_brute_force(spark, n, percent, monkeypatch):
     assert kept.columns == docs.columns and ngram_join.grouped(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    a, b, c, d, e = (prose(s, 60, 3000) for s in range(400, 405))
+    rows = [(None, a), (None, b), (None, b.upper()), (None, b), (7, c), (7, d), (7, d), (8, e), (None, e),
+            (None, ""), (None, None), (None, ""), (9, ""), (9, " ")]
+    kept = [(r.doc_id, (r.text or "").lower(), r.text is None)
+            for r in ngram_join.keep_one(make(spark, rows), 5, 80).collect()]
+    want = [(i, t or "", t is None) for i, t in
+            [(None, a), (None, b), (7, c), (7, d), (8, e), (None, ""), (None, None), (9, ""), (9, " ")]]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_tree_finds_every_close_pair():
     draw = np.random.default_rng(2)
     points = draw.integers(0, 9, (300, 8))
