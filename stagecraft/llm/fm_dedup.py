@@ -15,9 +15,12 @@ their windows, and each segment need only be searched in its own shard.
    match, and what lasts over the whole window is reported.
 4. The intervals go back to the documents and the words they cover are removed.
 
-A minimizer with more than ``HOT`` different segments is cut into single windows, dealt by
-their own hash, so a shard holds about ``SHARD`` words whatever repeats. Words and segments are compared by
-64-bit hashes, segments by minimizer and digest together (128 bits).
+A minimizer with more than ``HOT`` different segments is cut into single windows. Those with
+the same minimizer and hash are combined; a window without an equal one is not repeated, of
+the others two copies each are dealt by their hash, searched, and the answer is joined back
+to all. So a shard holds about ``SHARD`` words however often a passage occurs. Words and
+segments are compared by 64-bit hashes, segments and single windows by minimizer and digest
+together (128 bits).
 
 Defined results: a null text has no words; texts shorter than the window lose nothing;
 kept words are joined by one space. Repeated rows are documents of their own, so all their
@@ -199,29 +202,84 @@ def cut(docs: DataFrame, window: int) -> DataFrame:
     return keyed(docs).mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
-def segment_words(docs: DataFrame, wanted: DataFrame, shards: int, window: int) -> DataFrame:
-    """(shard, minimizer, digest, place in the segment, word hashes) of the wanted segments."""
-    schema = pa.schema([*((n, pa.int64()) for n in ("shard", "least", "digest", "at")),
-                        ("words", pa.list_(pa.int64()))])
+_WORDS = pa.schema([("least", pa.int64()), ("digest", pa.int64()), ("words", pa.list_(pa.int64()))])
+_WORDS_SQL = "least bigint, digest bigint, words array<bigint>"
+
+
+def segment_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """(minimizer, digest, word hashes) of the wanted segments."""
 
     def fill(batch):
         for text, found in zip(batch["text"].to_pylist(), batch["found"].to_pylist()):
             words = word_hashes((text or "").encode("utf-8", "surrogatepass"))[2]
             for s in found:
                 own = words[s["start"] : s["start"] + s["size"] + window - 1]
-                if not s["hot"]:
-                    yield s["least"] % shards, s["least"], s["digest"], 0, signed(own)
-                    continue
-                at = np.arange(s["size"])
-                for k, h in zip(at, signed(run_hashes(own, at, at + window)).tolist()):
-                    yield h % shards, s["least"], s["digest"], int(k), signed(own[k : k + window])
+                yield s["least"], s["digest"], signed(own)
 
     lists = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(
-        F.collect_list(F.struct("start", "size", "least", "digest", "hot")).alias("found"))
+        F.collect_list(F.struct("start", "size", "least", "digest")).alias("found"))
     joined = keyed(docs).join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))
                        & (F.col("tag") == F.col("_tag"))).select("text", "found")
-    return joined.mapInArrow(batched(schema, fill, 1000), "shard bigint, least bigint, "
-                             "digest bigint, at bigint, words array<bigint>")
+    return joined.mapInArrow(batched(_WORDS, fill, 1000), _WORDS_SQL)
+
+
+def hot_words(docs: DataFrame, hot: np.ndarray, window: int) -> DataFrame:
+    """(minimizer, digest, word hashes) of the different segments of the hot minimizers; no
+    text is moved for them. There are at most 1 / ``HOT`` as many as segments."""
+    def fill(batch):
+        for text in batch["text"].to_pylist():
+            words = word_hashes((text or "").encode("utf-8", "surrogatepass"))[2]
+            least, digest, starts, sizes, _ = segments(words, window)
+            for i in np.flatnonzero(np.isin(least, hot)):
+                yield (least[i], digest[i],
+                       signed(words[starts[i] : starts[i] + sizes[i] + window - 1]))
+
+    return docs.select("text").mapInArrow(batched(_WORDS, fill, 1000), _WORDS_SQL
+                                          ).dropDuplicates(["least", "digest"])
+
+
+def window_hashes(words: DataFrame, window: int) -> DataFrame:
+    """(minimizer, hash, digest, place in the segment) of every window of the segments."""
+    names = ("least", "hash", "digest", "at")
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                lists = part["words"]
+                values, offsets = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()
+                starts = offsets[:-1] - offsets[0]
+                counts = np.diff(offsets) - window + 1
+                own = np.repeat(np.arange(len(counts)), counts)
+                at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                begin = starts[own] + at
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (
+                    part["least"].to_numpy()[own], signed(run_hashes(values, begin, begin + window)),
+                    part["digest"].to_numpy()[own], at)], names=list(names))
+
+    return words.mapInArrow(
+        run, ", ".join(f"{n} bigint" for n in names))
+
+
+def hot_ranges(words: DataFrame, window: int, shard_words: int) -> DataFrame:
+    """(minimizer, digest, from, to): repeated windows of the hot segments. Equal windows
+    are combined first; two of each go to the shard of their hash, however many there are."""
+    own = window_hashes(words, window)
+    place = F.struct("digest", "at")
+    twice = own.groupBy("least", "hash").agg(F.min(place).alias("_low"), F.max(place).alias("_high")
+                                             ).where("_low <> _high")
+    copies = materialise(twice.select("least", "hash", F.posexplode(F.array("_low", "_high")).alias(
+        "copy", "_place")).select("least", "hash", "copy", "_place.*"), "windows")
+    shards = max(1, -(-copies.count() * (window + 1) // shard_words))
+    sent = copies.groupBy("least", "digest").agg(
+        F.collect_list(F.struct("hash", "copy", "at")).alias("sent")).hint("merge")
+    dealt = words.join(sent, ["least", "digest"]).select("least", "words", F.explode("sent").alias("_s")).select(
+        F.pmod("_s.hash", F.lit(shards)).alias("shard"), "least", F.col("_s.hash").alias("digest"),
+        F.col("_s.copy").cast("bigint").alias("at"),
+        F.slice("words", F.col("_s.at").cast("int") + 1, window).alias("words"))
+    found = search_shards(dealt, window).select("least", F.col("digest").alias("hash")).distinct()
+    return own.join(found.hint("merge"), ["least", "hash"]).select(
+        "least", "digest", F.col("at").alias("low"), (F.col("at") + window).alias("high"))
 
 
 def search_shards(words: DataFrame, window: int) -> DataFrame:
@@ -258,10 +316,20 @@ def repeated(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD,
     kinds = materialise(flagged.where("mixed").groupBy("least", "digest").agg(
         F.count("*").alias("n"),
         F.min(F.struct("doc_id", "tag", "start", "size")).alias("_rep")), "kinds")
-    many = kinds.groupBy("least").agg((F.count("*") > hot).alias("hot"))
-    total = kinds.agg(F.coalesce(F.sum(F.col("_rep.size") + window), F.lit(0))).first()[0]
-    wanted = kinds.join(many.hint("merge"), "least").select("least", "digest", "_rep.*", "hot")
-    found = search_shards(segment_words(docs, wanted, max(1, -(-total // shard_words)), window), window)
+    many = kinds.groupBy("least").agg((F.count("*") > hot).alias("hot"),
+                                      F.sum(F.col("_rep.size") + window).alias("_words"))
+    cold = F.sum(F.when(~F.col("hot"), F.col("_words")))
+    total, common = many.agg(F.coalesce(cold, F.lit(0)),
+                             F.collect_list(F.when(F.col("hot"), F.col("least")))).first()
+    wanted = kinds.join(many.where("not hot").hint("merge"), "least").select(
+        "least", "digest", "_rep.*")
+    shards = max(1, -(-total // shard_words))
+    found = search_shards(segment_words(docs, wanted, window).select(
+        F.pmod("least", F.lit(shards)).alias("shard"), "least", "digest",
+        F.lit(0).cast("bigint").alias("at"), "words"), window)
+    if common:
+        words = materialise(hot_words(docs, np.array(common, np.int64), window), "words")
+        found = found.unionAll(hot_ranges(words, window, shard_words))
     whole = flagged.join(kinds.where("n > 1").select("least", "digest", F.lit(True).alias("_again"))
                          .hint("merge"), ["least", "digest"], "left").where("_again or not mixed")
     parts = flagged.where("mixed").join(found.hint("merge"), ["least", "digest"])

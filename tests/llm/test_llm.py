@@ -92,6 +92,26 @@ def test_repeated_passages_match_brute_force(spark, hot):
     assert fm_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_a_passage_in_many_documents_reaches_its_shard_twice(spark, monkeypatch):
+    sent, search = [], fm_dedup.search_shards
+
+    def seen(words, window):
+        rows = words.collect()
+        sent.extend(tuple(r.words) for r in rows)
+        shards.extend(Counter(r.shard for r in rows).values())
+        return search(words, window)
+
+    shards = []
+    monkeypatch.setattr(fm_dedup, "search_shards", seen)
+    shared = prose(12, 50)
+    texts = [f"{prose(500 + i, 40)} {shared} {prose(600 + i, 40)}" for i in range(20)]
+    rows = [*enumerate(texts), (3, texts[3])]
+    out = fm_dedup.remove_repeats(make(spark, rows), shard_words=400, hot=5).collect()
+    assert sorted(r.kept for r in out) == sorted(brute_removed([t for _, t in rows]))
+    windows = Counter(w for s in sent for w in zip(*(s[k:] for k in range(35))))
+    assert max(windows.values()) == 2 and max(shards) <= 40
+
+
 def test_repeated_rows_are_repeated_passages(spark, odd):
     rows = fm_dedup.remove_repeats(odd).collect()
     assert {r.n_removed for r in rows if r.doc_id == 6} == {30_000} and len(rows) == 11
