@@ -190,6 +190,21 @@ def test_main_text_of_pages():
     assert line_blocks.main_text(plain) == "\n\n".join(["word word word word"] * 3)
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<div><p>story</p></div><section class=comments><article>reader comment</article></section>", ["story"]),
+    ("<div><p>story</p></div><aside><article>one</article><article>two</article></aside>", ["story"]),
+    ("<p>" + "long " * 200 + "</p>" + "<div class=ad>Buy</div>" * 3 + "<p>The end.</p>",
+     ["long " * 199 + "long", "The end."]),
+    ("<div class=with-sidebar><article>story</article></div>", ["story"]),
+    ("<div class='layout has-comments no-ads'><p>story</p></div><div class=ads>x</div>", ["story"]),
+    ("<div id=content-sidebar-wrap><main>story</main><div class=sidebar>x</div></div><p>" + "y" * 99, ["story"]),
+    ("<div class=header-wrap><p>a long story</p></div><p>end</p>", ["a long story", "end"]),
+    ("<p>a long story</p><div class=comments-wrap><article>reader</article></div>", ["a long story"]),
+    ("<p>a long story</p><div class='ads no-print'>x", ["a long story"])])
+def test_pages_keep_their_main_text(page, want):
+    assert line_blocks.main_text(page) == "\n\n".join(want)
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id bigint, url string, html string")
 
