@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from stagecraft.llm import (
-    bm25_decon, ecoc_lang, fm_dedup, line_blocks, mixture, ngram_join, pii_crf, syncmers, url_vocab, warc_revisit,
+    bm25_decon, ecoc_lang, fm_dedup, line_blocks, merkle, mixture, ngram_join, pii_crf, syncmers, url_vocab, warc_revisit,
 )
 from stagecraft.scratch import scratch_dir
 
@@ -79,6 +79,11 @@ def op2_fm_index_dedup(spark, sf_dir):
     return fm_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
