@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from stagecraft.llm import (
-    bm25_decon, ecoc_lang, fm_dedup, line_blocks, merkle, mixture, ngram_join, pii_crf, syncmers, url_vocab, warc_revisit,
+    bm25_decon, ecoc_lang, fm_dedup, line_blocks, merkle, mixture, ngram_join, pii_crf, syncmers,
+    turn_repair, url_vocab, warc_revisit,
 )
 from stagecraft.scratch import scratch_dir
 
@@ -79,6 +80,11 @@ def op2_fm_index_dedup(spark, sf_dir):
     return fm_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query
+def op11_turn_repair(spark, sf_dir):
+    return turn_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op13_merkle_manifest(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"))
