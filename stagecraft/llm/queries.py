@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from stagecraft.llm import (
-    bm25_decon, ecoc_lang, fm_dedup, line_blocks, merkle, mixture, ngram_join, pii_crf, syncmers,
-    turn_repair, url_vocab, warc_revisit,
+    bm25_decon, ecoc_lang, fm_dedup, line_blocks, merkle, mixture, ngram_join, pii_crf,
+    pitman_yor, syncmers, turn_repair, url_vocab, warc_revisit,
 )
 from stagecraft.scratch import scratch_dir
 
@@ -85,6 +85,11 @@ def op11_turn_repair(spark, sf_dir):
     return turn_repair.repair(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op12_pitman_yor(spark, sf_dir):
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_merkle_manifest(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"))
