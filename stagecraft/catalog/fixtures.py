@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stagecraft.config import CHAIN_EDGES, Options
 from stagecraft.functions.text import FLIP_PAIRS
-from stagecraft.operators.studies import ABLATIONS, DROPOUTS, LAMBDAS
+from stagecraft.operators.studies import DROPOUTS, LAMBDAS
 from stagecraft.scratch import scratch_dir
 from stagecraft.sources.shards import build_or_reuse, read_split
 
@@ -23,7 +23,7 @@ SHUFFLE_SEED = 0
 DROPOUT_RATE = WHOLE.loss_dropout
 RUN_VARIANTS = {
     "lambda": tuple(str(v) for v in LAMBDAS),
-    "ablation": (*list(ABLATIONS)[:4], "no_edge_loss"),
+    "ablation": ("full", "no_pred_tokens", "no_long_range_edge", "no_trivial_filter", "no_edge_loss"),
     "dropout": tuple(str(v) for v in DROPOUTS),
 }
 
@@ -88,6 +88,14 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers_from(table(spark, sf_dir, "documents"))
 
 
+def arrive(documents: DataFrame, part: int, inbox: str, parts: int = 4) -> None:
+    """Put one of ``parts`` ranges of doc_id into ``inbox``, as the file of one arrival."""
+    low, high = (documents.agg(f("doc_id")).first()[0] or 0 for f in (F.min, F.max))
+    step = (high - low) // parts + 1
+    slot = F.floor((F.col("doc_id") - low) / step)
+    documents.where(slot == part).coalesce(1).write.mode("append").parquet(inbox)
+
+
 _bases: dict[tuple[str, str], str] = {}
 
 
@@ -96,7 +104,7 @@ def shards(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _bases:
         _bases[key] = scratch_dir(spark, "shards")
-    return build_or_reuse(papers(spark, sf_dir), _bases[key], WHOLE) + "/chains"
+    return build_or_reuse(papers(spark, sf_dir), _bases[key], WHOLE, input_id=sf_dir) + "/chains"
 
 
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,55 @@ capped AS (
                   ELSE {CAPPED.max_test_examples} END)"""
 
 
+# The settings that name a build, as sorted JSON, written out.
+_SETTINGS = (
+    '{"citation_column": "oa_cited_by_count", "dataset": "papers", "fallback_year_column": "source_year", '
+    '"field_column": "field_subfield", "id_column": "paper_id", "max_papers_per_field": 20, "max_stage_chars": null, '
+    '"max_test_examples": 200, "max_train_examples": 400, "random_split_test_frac": 0.1, "seq_column": "seq", '
+    '"stage_columns": {"conclusion": "interpretation_implications", "experiment": "procedures_architectures", '
+    '"hypothesis": "research_question_hypothesis", "method": "methodological_details", "result": "key_results", '
+    '"title": "summary_title"}, "test_year": 2025, "train_cutoff_year": 2024, "year_column": "oa_year"}')
+_SETTINGS_WHOLE = _SETTINGS.replace(": 20,", ": 0,").replace(": 200,", ": null,").replace(": 400,", ": null,")
+
+_PAPER_COLUMNS = (
+    "interpretation_implications", "key_results", "methodological_details", "oa_cited_by_count", "oa_year",
+    "paper_id", "procedures_architectures", "research_question_hypothesis", "seq", "source_year", "summary_title")
+_AS_TEXT = {"source_year": "CASE WHEN isnan(source_year) THEN 'NaN' ELSE source_year::VARCHAR END"}
+_FRAMED = ", ".join(
+    f"coalesce(length({t}) || ':' || {t}, '-')" for t in (
+        _AS_TEXT.get(c, f"{c}::VARCHAR") for c in sorted([*_PAPER_COLUMNS, "field_subfield"])))
+PRINT = """{name} AS (
+  SELECT count(*) || '-' || coalesce(sum(('0x' || substr(md5(concat_ws('|', """ + _FRAMED + """)), 1, 15))::BIGINT), 0) AS input
+  FROM {source})"""
+
+BUILDS = CAPS + ",\n" + PRINT.format(name="print", source="papers") + f""",
+fewer AS (SELECT * FROM papers WHERE seq % 3 <> 0),
+""" + PRINT.format(name="fewer_print", source="fewer") + f""",
+fewer_capped AS (
+  SELECT * FROM chains WHERE seq % 3 <> 0 AND split = 'test'
+  UNION ALL
+  SELECT * FROM chains WHERE seq % 3 <> 0 AND split = 'train'
+  QUALIFY row_number() OVER (PARTITION BY field ORDER BY seq) <= {CAPPED.max_papers_per_field}),
+builds AS (
+  SELECT input, split, count(*) AS n, true AS whole FROM capped, print GROUP BY ALL
+  UNION ALL
+  SELECT input, split, count(*), false FROM (SELECT * FROM fewer_capped
+    QUALIFY row_number() OVER (PARTITION BY split ORDER BY seq)
+      <= CASE split WHEN 'train' THEN {CAPPED.max_train_examples} ELSE {CAPPED.max_test_examples} END), fewer_print
+  GROUP BY ALL)"""
+
+# Every variant of the studies and the options in which it differs from the defaults.
+_GRID = """
+('lambda', '0.0', 'edge_loss_enabled=false;edge_loss_weight=0.0'), ('lambda', '0.25', 'edge_loss_weight=0.25'),
+('lambda', '0.5', 'edge_loss_weight=0.5'), ('lambda', '1.0', ''), ('lambda', '2.0', 'edge_loss_weight=2.0'),
+('ablation', 'full', ''), ('ablation', 'no_pred_tokens', 'use_pred_tokens=false'),
+('ablation', 'no_long_range_edge', 'use_long_range_edge=false'),
+('ablation', 'no_trivial_filter', 'use_trivial_edge_filter=false'),
+('ablation', 'mse_loss', 'edge_loss_type="mse"'), ('ablation', 'no_edge_loss', 'edge_loss_enabled=false'),
+('dropout', '0.0', 'loss_dropout=0.0'), ('dropout', '0.125', ''), ('dropout', '0.25', 'loss_dropout=0.25'),
+('dropout', '0.5', 'loss_dropout=0.5'), ('dropout', '0.75', 'loss_dropout=0.75')"""
+
+
 def _tokens(text: str, n: int | None = None) -> str:
     every = f"list_filter(regexp_split_to_array({text}, '[ \\t\\r\\n]+'), lambda x: x <> '')"
     return f"list_slice({every}, 1, {n})" if n else every
@@ -312,9 +361,16 @@ def oracle_sql() -> dict[str, str]:
     add("read_papers", PAPERS, "SELECT " + ", ".join([*_COLUMNS.values(), "paper_id", "oa_year",
         "source_year", "oa_cited_by_count", "field_subfield", "seq"]) + " FROM papers")
     add("write_shards", CHAINS, f"SELECT {_ROW}, split FROM chains")
-    add("build_or_reuse", CAPS, f"SELECT '{CAPPED.signature()}' AS signature, split, count(*) AS n, "
-        f"true AS reused FROM capped GROUP BY split")
+    builds = f"SELECT md5('{_SETTINGS}')[:10] AS signature, input, split, n, whole AS reused FROM builds"
+    add("build_or_reuse", BUILDS, builds + " WHERE whole")
+    add("build_by_input", BUILDS, builds)
+    add("build_whole", CHAINS + ",\n" + PRINT.format(name="print", source="papers"), f"""
+SELECT md5('{_SETTINGS_WHOLE}')[:10] AS signature, input, split, count(*) AS n FROM chains, print GROUP BY ALL""")
+    add("input_fingerprint", PAPERS + ",\n" + PRINT.format(name="print", source="papers"), "SELECT input FROM print")
     add("read_split", CHAINS, f"SELECT {_ROW}, split FROM chains WHERE split = 'test'")
+    add("ingest_in_batches", CAPS + """,
+span AS (SELECT min(doc_id) AS low, (max(doc_id) - min(doc_id)) // 4 + 1 AS step FROM documents)""",
+        f"SELECT {_ROW}, split, ((seq - low) // step)::INTEGER AS batch_id FROM capped, span")
     add("ingest_stream", CAPS, f"SELECT {_ROW}, split FROM capped")
     summary = ("SELECT study, variant, round(avg(perplexity), 6) AS perplexity_mean, "
                "round(stddev_pop(perplexity), 6) AS perplexity_std, "
@@ -355,11 +411,14 @@ def oracle_sql() -> dict[str, str]:
     add("block_shuffle", CHAINS + ",\n" + ordered(block), "SELECT seq, split, order_pos FROM ordered")
     add("stripe", CHAINS + ",\n" + ordered(block),
         f"SELECT seq, split, (pos // {block} % 2)::INTEGER AS worker FROM ordered")
-    add("worker_order", CHAINS + ",\n" + ordered(block) + f""",
+    own = (CHAINS + ",\n" + ordered(block) + f""",
 own AS (SELECT *, pos // {block} % 2 AS worker, pos // {block} // 2 * {block} + pos % {block} AS own_pos
-        FROM positions)""", f"""SELECT seq, split, worker::INTEGER AS worker,
+        FROM positions)""")
+    worker_pos = f"""SELECT seq, id, split, worker::INTEGER AS worker,
   (own_pos // {block} * {block} + row_number() OVER (PARTITION BY split, worker, own_pos // {block}
-   ORDER BY md5(id || '|' || seq || '|{SHUFFLE_SEED}'), seq) - 1)::BIGINT AS order_pos FROM own""")
+   ORDER BY md5(id || '|' || seq || '|{SHUFFLE_SEED}'), seq) - 1)::BIGINT AS order_pos FROM own"""
+    add("worker_order", own, worker_pos.replace("seq, id,", "seq,", 1))
+    add("trainer_output", own, worker_pos)
     add("assign_batches", CHAINS + ",\n" + ordered(block),
         f"SELECT seq, split, order_pos // {size} AS batch_id FROM ordered")
     add("rank_candidates", BM25, f"SELECT pool_id, pos, is_true, rank::INTEGER AS rank FROM {ranked('bm25')}")
@@ -417,15 +476,16 @@ LEFT JOIN (SELECT batch_id, avg(loss) AS loss FROM edge_losses WHERE cos <= 0.95
 dims AS (SELECT u.k, sum(e.embedding[u.k]::DOUBLE) AS s, sum(e.embedding[u.k]::DOUBLE ** 2) AS s2
          FROM embeddings e, range(1, 65) u(k) GROUP BY 1), n AS (SELECT count(*) AS n FROM embeddings)""",
         "SELECT round((sum(s * s) - sum(s2)) / (max(n) * (max(n) - 1)), 6) AS mean_pairwise_cos FROM dims, n")
+    add("gram_cells", "dims AS (SELECT unnest(range(1, 65))::INTEGER AS k)", """SELECT a.k - 1 AS i, b.k - 1 AS j, round(sum(e.embedding[a.k]::DOUBLE * e.embedding[b.k]::DOUBLE), 4) + 0.0 AS value
+FROM embeddings e, dims a, dims b GROUP BY ALL""")
     add("surprise", EMB, "SELECT pair_id, round(surprise, 6) + 0.0 AS surprise FROM surprise")
     assoc = EMB + ",\n" + labelled("surprise", "pair_id") + ",\n" + association("surprise")
     add("spearman", assoc, "SELECT round(rho, 6) AS spearman_rho, round(p, 6) AS spearman_p, n FROM rho")
     add("auroc", assoc, "SELECT round(auroc, 6) AS auroc FROM roc")
 
     # studies
-    add("study_grid", "seeds AS (SELECT DISTINCT event_id % 4 AS seed FROM events), v AS (SELECT * FROM "
-        "(VALUES " + ", ".join(f"('{s}', '{v}')" for s, v in _grid_names()) + ") t(study, variant))",
-        "SELECT study, variant, seed FROM v, seeds")
+    add("study_grid", f"seeds AS (SELECT DISTINCT event_id % 4 AS seed FROM events), v AS (SELECT * FROM (VALUES {_GRID}) "
+        "t(study, variant, settings))", "SELECT study, variant, seed, settings FROM v, seeds")
     add("pair_with_baseline", runs() + ",\n" + TESTS.format(base="0.0"),
         "SELECT study, variant, seed, round(value, 6) AS value, round(base_value, 6) AS base_value FROM paired")
     add("throughput", runs(), "SELECT variant, seed, round(steps / greatest(1e-9, wall_time_s), 6) "
@@ -484,8 +544,3 @@ base AS (SELECT batch_id, avg(nll) AS nll FROM nlls JOIN batched USING (seq) GRO
     add("training_losses", train_pairs, "SELECT batch_id, round(nll, 5) AS nll, "
         "round(nll + coalesce(u.loss, 0), 5) AS loss FROM base LEFT JOIN used u USING (batch_id)")
     return q
-
-
-def _grid_names() -> list[tuple[str, str]]:
-    from stagecraft.operators.studies import study_variants
-    return [(s, v) for s in RUN_VARIANTS for v in study_variants(s)]

@@ -17,7 +17,7 @@ from stagecraft.operators import (
 from stagecraft.plans import dataset, evaluation
 from stagecraft.scratch import scratch_dir
 from stagecraft.sources import papers as paper_source
-from stagecraft.sources import shards, studies as study_source
+from stagecraft.sources import shards, studies as study_source, trainer
 from stagecraft.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,12 @@ def write_shards(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def _manifest(spark, directory):
+    return spark.read.json(f"{directory}/manifest", schema=(
+        "signature string, input string, counts map<string,bigint>")).select(
+        "signature", "input", F.explode("counts").alias("split", "n"))
+
+
 @query
 def build_or_reuse(spark, sf_dir):
     """Builds, then asks again: the second call must find the first one's directory."""
@@ -72,9 +78,43 @@ def build_or_reuse(spark, sf_dir):
     papers = fx.papers(spark, sf_dir)
     built = shards.build_or_reuse(papers, base, fx.CAPPED)
     again = shards.build_or_reuse(papers, base, fx.CAPPED)
-    manifest = spark.read.json(f"{built}/manifest", schema="signature string, counts map<string,bigint>")
-    return manifest.select("signature", F.explode("counts").alias("split", "n"),
-                           F.lit(built == again).alias("reused"))
+    return _manifest(spark, built).withColumn("reused", F.lit(built == again))
+
+
+@query
+def build_by_input(spark, sf_dir):
+    """The same rows in another order find the first build, fewer rows under the same base get
+    their own. The manifests of both inputs."""
+    base = scratch_dir(spark, "builds")
+    papers = fx.papers(spark, sf_dir)
+    built = shards.build_or_reuse(papers, base, fx.CAPPED)
+    again = shards.build_or_reuse(papers.repartition("paper_id"), base, fx.CAPPED)
+    fewer = shards.build_or_reuse(papers.where("seq % 3 <> 0"), base, fx.CAPPED)
+    return _manifest(spark, built).withColumn("reused", F.lit(built == again)).unionAll(
+        _manifest(spark, fewer).withColumn("reused", F.lit(built == fewer)))
+
+
+@query
+def build_whole(spark, sf_dir):
+    """A build without any cap, over all papers."""
+    papers = fx.papers(spark, sf_dir)
+    return _manifest(spark, shards.build_or_reuse(papers, scratch_dir(spark, "builds"), fx.WHOLE))
+
+
+@query
+def input_fingerprint(spark, sf_dir):
+    papers = fx.papers(spark, sf_dir)
+    return spark.createDataFrame([(shards.input_fingerprint(papers),)], "input string")
+
+
+@query
+def trainer_output(spark, sf_dir):
+    """Rows as each worker meets them in its files, one after the other."""
+    path, o = scratch_dir(spark, "trainer"), fx.CAPPED
+    opts = o.but(shard_rows=o.shuffle_buffer, seed=fx.SHUFFLE_SEED)
+    trainer.write_worker_files(fx.chains(spark, sf_dir), path, opts)
+    return trainer.read_positions(spark, path).select(
+        "seq", "id", "split", "worker", F.col("file_pos").alias("order_pos"))
 
 
 @query
@@ -91,6 +131,20 @@ def ingest_stream(spark, sf_dir):
     return ingest.read_ingested(spark, out)
 
 
+@query
+def ingest_in_batches(spark, sf_dir):
+    """Four files, one for each micro-batch: two are ingested, then the query is restarted
+    from its checkpoint for two more. ``batch_id`` is the micro-batch that wrote the row."""
+    out, state, inbox = (scratch_dir(spark, n) for n in ("stream", "state", "inbox"))
+    documents = fx.table(spark, sf_dir, "documents")
+    for parts in ((0, 1), (2, 3)):
+        for part in parts:
+            fx.arrive(documents, part, inbox)
+        arrived = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        ingest.ingest_stream(fx.papers_from(arrived), out, state, fx.CAPPED).awaitTermination()
+    return ingest.read_ingested(spark, out, with_batch=True)
+
+
 @query
 def write_study(spark, sf_dir):
     summary = studies.summarise_ablation(fx.runs(spark, sf_dir, "ablation"))
@@ -243,7 +297,8 @@ def _bm25(spark, sf_dir):
 
 def _dense(spark, sf_dir):
     test = tests(spark, sf_dir)
-    return retrieval.dense_scores(_pools(test), pools.contexts(test), fx.WHOLE)
+    places = pools.pool_places(test, fx.WHOLE.n_distractors, fx.POOL_SEED)
+    return retrieval.dense_from_store(places, evaluation.vector_store(test, fx.WHOLE))
 
 
 @query
@@ -410,6 +465,12 @@ def effective_rank(spark, sf_dir):
     return rounded(health.effective_rank(rows, "embedding"), "effective_rank")
 
 
+@query
+def gram_cells(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "embeddings")
+    return rounded(health.gram_cells(rows, "embedding"), "value", digits=4)
+
+
 @query
 def surprise(spark, sf_dir):
     scored = losses.surprise(fx.emb_pairs(spark, sf_dir))
@@ -440,7 +501,8 @@ def auroc(spark, sf_dir):
 def study_grid(spark, sf_dir):
     seeds = fx.runs(spark, sf_dir).select("seed").distinct()
     grid = studies.study_grid(seeds, ("lambda", "ablation", "dropout"))
-    return grid.select("study", "variant", "seed")
+    pairs = F.transform(F.map_entries("settings"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return grid.select("study", "variant", "seed", F.array_join(F.array_sort(pairs), ";").alias("settings"))
 
 
 @query

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -28,6 +27,7 @@ FLIP_PAIRS = (
     ("associated", "unassociated"), ("elevated", "reduced"),
     ("upregulated", "downregulated"),
 )
+# Fixed value: what stands before a finding without such a word.
 FLIP_PREFIX = "Contrary to the findings, "
 
 
@@ -77,32 +77,49 @@ def year_digits(col) -> Column:
     return F.nullif(plain, F.lit("")).try_cast("int")
 
 
-def _word(word: str) -> str:
-    # Letters, digits and "_" of any script continue a word; combining marks do not.
-    return rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{word})(?![\p{{L}}\p{{N}}_])"
+# Letters, digits and "_" of any script continue a word; combining marks do not.
+_PIECES = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)"
+_FLIP_WORDS = tuple(w for pair in FLIP_PAIRS for w in pair)
+
+
+def _plain(piece: Column) -> Column:
+    """Lower case by way of upper case, so that variants of a letter meet."""
+    return F.lower(F.upper(piece))
 
 
 def has_flip_word(col) -> Column:
-    every = "|".join(re.escape(w) for pair in FLIP_PAIRS for w in pair)
-    return F.rlike(col, F.lit(_word(every)))
+    words = F.transform(F.regexp_extract_all(col, F.lit(_PIECES)), _plain)
+    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in _FLIP_WORDS]))
 
 
 def flip_findings(col) -> Column:
     """Swap antonyms so the text states the opposite finding.
 
     For each pair, the left word is replaced where it occurs; only where it does not
-    occur is the right word replaced. All 28 words differ, so no replacement creates a
-    word of another pair and "left word occurs" can be asked of the original text. That
-    keeps the expression a straight chain of 14 replacements.
+    occur is the right word replaced. The text is cut once into words and what lies between;
+    the flip words it holds decide every pair's direction, and one pass writes the words
+    anew. No pattern depends on the row.
     """
     original = F.col(col) if isinstance(col, str) else col
-    text = original
-    for left, right in FLIP_PAIRS:
-        forward = F.rlike(original, F.lit(_word(left)))
-        text = F.regexp_replace(
-            text,
-            F.when(forward, F.lit(_word(left))).otherwise(F.lit(_word(right))),
-            F.when(forward, F.lit(right)).otherwise(F.lit(left)),
-        )
-    return F.when(has_flip_word(original), text).otherwise(
-        F.concat(F.lit(FLIP_PREFIX), original))
+    flips = F.array(*[F.lit(w) for w in _FLIP_WORDS])
+    partner = F.array(*[F.lit(w) for left, right in FLIP_PAIRS for w in (right, left)])
+
+    def rewrite(pieces: Column) -> Column:
+        found = F.array_intersect(F.transform(pieces, _plain), flips)
+        return F.element_at(F.transform(F.array(found), lambda f: F.when(
+            F.size(f) > 0, F.array_join(F.transform(pieces, lambda p: swap(p, f)), "")).otherwise(
+            F.concat(F.lit(FLIP_PREFIX), original))), 1)
+
+    def swap(piece: Column, found: Column) -> Column:
+        # Places count from 1; left words stand at odd ones, their partners right after them.
+        def turned(at: Column) -> Column:
+            right_kept = (at % 2 == 0) & F.array_contains(found, F.element_at(partner, at))
+            return F.when((at == 0) | right_kept, piece).otherwise(F.element_at(partner, F.greatest(at, F.lit(1))))
+
+        place = F.array_position(flips, _plain(piece)).cast("int")
+        short = F.length(piece) <= max(map(len, _FLIP_WORDS))
+        return F.when(short, F.element_at(F.transform(F.array(place), lambda at: F.when(
+            at > 0, turned(F.greatest(at, F.lit(1)))).otherwise(piece)), 1)).otherwise(piece)
+
+    pieces = F.regexp_extract_all(original, F.lit(_PIECES))
+    return F.element_at(F.transform(F.array(pieces), rewrite), 1)

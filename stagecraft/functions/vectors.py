@@ -67,21 +67,60 @@ def predict_stage(df: DataFrame, context: str, out: str, opts: Options, *,
     return _hashed(df, context, out, opts.encoder_dim, None)
 
 
-def _hashed(df: DataFrame, text: str, out: str, dim: int, limit: int | None) -> DataFrame:
-    # Each token becomes +-(bucket + 1); a bucket's weight is the number of its positive
-    # codes minus that of its negative ones, read off array sizes with one code removed.
-    def signed_code(token):
+def token_weights(words: Column, dim: int) -> Column:
+    """Sparse counts of signed hash buckets: sorted (bucket from 0, weight), weight not 0.
+
+    Each token is one code, bucket and sign. The codes are sorted and every run of a bucket
+    becomes one entry, so the work follows the tokens and not the dimension.
+    """
+    def code(token):
         h = F.md5(token)
         bucket = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim
-        positive = F.substring(h, 9, 1) < "8"
-        return F.when(positive, bucket + 1).otherwise(-(bucket + 1)).cast("int")
+        return (bucket * 2 + (F.substring(h, 9, 1) < "8").cast("bigint")).cast("int")
+
+    def runs(codes):
+        n = F.size(codes)
+        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        ends = F.filter(at, lambda i: (i == n - 1) | (
+            F.shiftright(F.get(codes, i), 1) != F.shiftright(F.get(codes, i + 1), 1)))
+        return _once(ends, lambda ends: F.transform(ends, lambda end, k: entry(codes, ends, end, k)))
+
+    def entry(codes, ends, end, k):
+        start = F.when(k == 0, 0).otherwise(F.get(ends, k - 1) + 1)
+        signs = F.aggregate(F.slice(codes, start + 1, end - start + 1), F.lit(0),
+                            lambda total, c: total + 2 * (c % 2) - 1)
+        return F.struct(F.shiftright(F.get(codes, end), 1).alias("bucket"), signs.cast("double").alias("weight"))
+
+    counted = _once(F.sort_array(F.transform(words, code)), runs)
+    return F.filter(counted, lambda e: e["weight"] != 0)
+
+
+def unit_entries(entries: Column) -> Column:
+    """Sparse entries scaled to unit length."""
+    squares = F.aggregate(entries, F.lit(0.0), lambda total, e: total + e["weight"] * e["weight"])
+    return _once(F.sqrt(squares), lambda norm: F.transform(entries, lambda e: F.struct(
+        e["bucket"].alias("bucket"), (e["weight"] / norm).alias("weight"))))
 
-    def weight(b):
-        return (F.size(F.array_remove("_codes", -b))
-                - F.size(F.array_remove("_codes", b))).cast("double")
 
+def dense(entries: Column, dim: int) -> Column:
+    """The array of ``dim`` numbers that sorted sparse entries stand for."""
+    zero = F.lit(0.0)
+    last = F.coalesce(F.get(entries, F.size(entries) - 1)["bucket"], F.lit(-1))
+
+    def piece(e, k):
+        before = F.when(k == 0, -1).otherwise(F.get(entries, k - 1)["bucket"])
+        return F.concat(F.array_repeat(zero, e["bucket"] - before - 1), F.array(e["weight"]))
+
+    return F.concat(F.flatten(F.transform(entries, piece)), F.array_repeat(zero, F.lit(dim - 1) - last))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value bound as an array element, so it is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _hashed(df: DataFrame, text: str, out: str, dim: int, limit: int | None) -> DataFrame:
     words = tokens(F.lower(F.col(text)))
-    codes = F.transform(words if limit is None else F.slice(words, 1, limit), signed_code)
-    weighed = df.withColumn("_codes", codes).withColumn(
-        "_weights", F.transform(F.sequence(F.lit(1), F.lit(dim)), weight))
-    return with_once(weighed, l2_normalise("_weights").alias(out)).drop("_codes", "_weights")
+    weights = token_weights(words if limit is None else F.slice(words, 1, limit), dim)
+    vector = _once(weights, lambda w: _once(unit_entries(w), lambda unit: dense(unit, dim)))
+    return with_once(df, F.when(F.col(text).isNotNull(), vector).alias(out))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagecraft.config import Options
-from stagecraft.operators.skew import lookup_counted, running_total, salt_of
+from stagecraft.operators.skew import lookup_counted, running_total, with_range
 
 _IS_TRAIN = "split = 'train'"
 
@@ -20,14 +20,10 @@ def field_cuts(keys: DataFrame, cap: int, used: DataFrame | None = None) -> Data
     """``field, n, cut, room``: rows per field, and the ``seq`` of its last allowed train row.
 
     ``used`` (``field, n``) holds train rows accepted earlier. ``cut`` is null where the
-    field stays within its room. Train rows are ranked twice, first per (field, salt), so
-    each map task and each salt forwards at most ``cap`` keys of a hot field.
+    field stays within its room. Train rows are counted by field and range of ``seq``; the
+    counts tell in which range a field's room ends, and only the rows of that one range are
+    ordered. So whatever the cap, a field sends a window one range of its rows at most.
     """
-    ranked = keys.where(_IS_TRAIN).select("field", "seq", salt_of("seq").alias("_salt"))
-    for group in (["field", "_salt"], ["field"]):
-        order = Window.partitionBy(*group).orderBy("seq")
-        ranked = ranked.withColumn("_rank", F.row_number().over(order)).where(
-            F.col("_rank") <= cap)
     counts = keys.groupBy("field").agg(F.count("*").alias("n"))
     if used is None:
         rooms = counts.withColumn("room", F.lit(cap).cast("bigint"))
@@ -35,8 +31,18 @@ def field_cuts(keys: DataFrame, cap: int, used: DataFrame | None = None) -> Data
         earlier = used.select("field", F.col("n").alias("_used"))
         rooms = counts.join(earlier, "field", "left").select("field", "n", F.greatest(
             F.lit(0).cast("bigint"), cap - F.coalesce("_used", F.lit(0))).alias("room"))
-    cuts = ranked.join(rooms.select("field", "room"), "field").where(
-        F.col("_rank") == F.col("room")).select("field", F.col("seq").alias("cut"))
+    ranged = with_range(keys.where(_IS_TRAIN).select("field", "seq"), "seq", "_range")
+    totals = ranged.groupBy("field", "_range").agg(F.count("*").alias("_rows"))
+    # At most MAX_RANGES rows a field.
+    upto = Window.partitionBy("field").orderBy("_range")
+    ends = totals.withColumn("_upto", F.sum("_rows").over(upto)).join(rooms.select("field", "room"), "field")
+    before = F.col("_upto") - F.col("_rows")
+    last = ends.where((before < F.col("room")) & (F.col("_upto") >= F.col("room"))).select(
+        "field", "_range", "_rows", (F.col("room") - before).alias("_need"))
+    inside = Window.partitionBy("field", "_range").orderBy("seq")
+    cuts = lookup_counted(ranged, last, ["field", "_range"], count="_rows").withColumn(
+        "_rank", F.row_number().over(inside)).where(F.col("_rank") == F.col("_need")).select(
+        "field", F.col("seq").alias("cut"))
     return rooms.join(cuts, "field", "left").select("field", "n", "cut", "room")
 
 

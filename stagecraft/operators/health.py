@@ -37,12 +37,11 @@ def mean_pairwise_cos(df: DataFrame, vector: str = "vec") -> DataFrame:
     ).otherwise(F.lit(math.nan)).alias("mean_pairwise_cos"))
 
 
-def effective_rank(df: DataFrame, vector: str = "vec") -> DataFrame:
-    """exp of the entropy of the normalised singular values; NaN below four rows.
+def _gram(df: DataFrame, vector: str) -> DataFrame:
+    """``n, gram``: one row, the d x d Gram matrix of all vectors, flat.
 
-    Every task folds its rows into one d x d Gram matrix (NumPy, Arrow batches). The
-    matrices are summed in two levels, so no task merges more than one per mapper group,
-    and the singular values are the roots of the Gram matrix's eigenvalues.
+    Every task folds its rows into one matrix (NumPy, Arrow batches); the matrices are summed
+    in two levels, so no task merges more than one per mapper group.
     """
     # Nested functions are pickled whole, so executors need no installed package.
     def partial_gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,6 +54,31 @@ def effective_rank(df: DataFrame, vector: str = "vec") -> DataFrame:
         if gram is not None:
             yield pd.DataFrame({"n": [n], "gram": [gram.ravel()]})
 
+    def merge(grouped) -> DataFrame:
+        return grouped.agg(
+            F.sum("n").alias("n"),
+            vector_to_array(Summarizer.sum(array_to_vector("gram"))).alias("gram"))
+
+    partial = df.select(F.col(vector).cast("array<double>").alias("v")).mapInPandas(
+        partial_gram, "n bigint, gram array<double>")
+    group = F.pmod(F.spark_partition_id(), F.lit(_MERGE_GROUPS))
+    return merge(merge(partial.withColumn("_group", group).groupBy("_group")).groupBy())
+
+
+def gram_cells(df: DataFrame, vector: str = "vec") -> DataFrame:
+    """``i, j, value``: the cells of the Gram matrix whose eigenvalues give the rank, from 0."""
+    cells = _gram(df, vector).select(
+        F.sqrt(F.size("gram").cast("double")).cast("int").alias("_d"), F.posexplode("gram").alias("_at", "value"))
+    return cells.select(F.floor(F.col("_at") / F.col("_d")).cast("int").alias("i"),
+                        (F.col("_at") % F.col("_d")).alias("j"), "value")
+
+
+def effective_rank(df: DataFrame, vector: str = "vec") -> DataFrame:
+    """exp of the entropy of the normalised singular values; NaN below four rows.
+
+    The singular values are the roots of the eigenvalues of the Gram matrix (see gram_cells),
+    of which one task sees d x d numbers.
+    """
     def entropy_rank(grams: pd.Series) -> pd.Series:
         def one(flat):
             side = math.isqrt(len(flat))
@@ -65,15 +89,7 @@ def effective_rank(df: DataFrame, vector: str = "vec") -> DataFrame:
 
         return grams.map(one, na_action="ignore").astype("float64")
 
-    def merge(grouped) -> DataFrame:
-        return grouped.agg(
-            F.sum("n").alias("n"),
-            vector_to_array(Summarizer.sum(array_to_vector("gram"))).alias("gram"))
-
-    partial = df.select(F.col(vector).cast("array<double>").alias("v")).mapInPandas(
-        partial_gram, "n bigint, gram array<double>")
-    group = F.pmod(F.spark_partition_id(), F.lit(_MERGE_GROUPS))
-    merged = merge(merge(partial.withColumn("_group", group).groupBy("_group")).groupBy())
+    merged = _gram(df, vector)
     rank = F.pandas_udf(entropy_rank, "double")
     return merged.select(F.when(F.col("n") >= MIN_VECTORS, rank("gram")).otherwise(
         F.lit(math.nan)).alias("effective_rank"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from stagecraft.config import Options
 from stagecraft.functions.text import strip
-from stagecraft.operators.skew import lookup_counted
+from stagecraft.operators.skew import lookup_counted, running_total
+from stagecraft.scratch import materialise
 
 MIN_FIELD_ROWS = 4
 
@@ -37,8 +38,8 @@ def citation_labels(chains: DataFrame, opts: Options) -> DataFrame:
     value = citation_value(opts)
     if opts.label_strategy != "field_quartile":
         counted = chains.groupBy(value.alias("_value")).agg(F.count("*").alias("_n"))
-        median = counted.select(F.percentile("_value", 0.5, F.col("_n"))).scalar()
-        return chains.withColumn("label", (value > median).cast("int"))
+        median = exact_quantile(counted, "_value", "_n", 0.5)
+        return chains.withColumn("label", (value > F.lit(median)).cast("int"))
     grouped = chains.withColumn("_field", _field_group())
     thresholds = _field_thresholds(grouped, value, opts.top_quantile)
     labelled = lookup_counted(grouped, thresholds, ["_field"])
@@ -46,6 +47,24 @@ def citation_labels(chains: DataFrame, opts: Options) -> DataFrame:
     return labelled.withColumn("label", top.cast("int")).drop("threshold", "_field")
 
 
+def exact_quantile(counted: DataFrame, value: str, n: str, quantile: float) -> float | None:
+    """The interpolated quantile of weighted values; null values are left out, None without any.
+
+    Running totals over value ranges tell how many rows come before each value, so no task
+    sees all of them; the one or two values around the wanted place reach the driver.
+    """
+    kept = materialise(counted.where(F.col(value).isNotNull()).select(value, n), "counted")
+    total = kept.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    if not total:
+        return None
+    place = quantile * (total - 1)
+    low, high = math.floor(place), math.ceil(place)
+    placed = running_total(kept, value, "_before", weight=F.col(n))
+    inside = [(F.col("_before") <= at) & (F.col("_before") + F.col(n) > at) for at in (low, high)]
+    below, above = placed.agg(*[F.max(F.when(i, F.col(value))) for i in inside]).first()
+    return below if below == above else below + (above - below) * (place - low)
+
+
 def _field_group() -> Column:
     """A null or blank field counts as 'unknown'."""
     return F.coalesce(F.nullif(strip(F.col("field")), F.lit("")), F.lit("unknown"))

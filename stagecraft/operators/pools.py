@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagecraft.functions.hashing import digest, draw
@@ -83,29 +83,41 @@ def random_picks(chains: DataFrame, wanted: int, seed: int) -> DataFrame:
         "pool_id", "cand_seq")
 
 
-def build_pools(chains: DataFrame, n_distractors: int, seed: int) -> DataFrame:
-    """``pool_id, pos, kind, text, is_true``: a shuffled candidate list per chain.
+def _kinds(seq: str) -> Column:
+    """A pool's own two candidates, from the chain's row."""
+    def candidate(kind):
+        return F.struct(F.lit(kind).alias("kind"), F.col(seq).alias("cand_seq"), F.lit(kind == "true").alias("is_true"))
+
+    return F.inline(F.array(candidate("true"), candidate("flip")))
+
+
+def pool_places(chains: DataFrame, n_distractors: int, seed: int) -> DataFrame:
+    """``pool_id, pos, kind, cand_seq, is_true``: a shuffled candidate list per chain, by the
+    chains whose results (or flipped results) the candidates are.
 
     The flipped result is always there; ``n_distractors - 1`` random results of other ids
     join it. ``pool_id`` is the chain's ``seq``, since ids may repeat.
     """
-    own = pool_key(chains).select("pool_id", F.col("seq").alias("cand_seq"), F.inline(F.array(
-        F.struct(F.lit("true").alias("kind"), F.col("result").alias("text"),
-                 F.lit(True).alias("is_true")),
-        F.struct(F.lit("flip").alias("kind"), flip_findings("result").alias("text"),
-                 F.lit(False).alias("is_true")))))
-    candidates = own
+    candidates = pool_key(chains).select("pool_id", _kinds("seq"))
     if n_distractors > 1:
-        picks = random_picks(chains, n_distractors - 1, seed)
-        texts = chains.select(F.col("seq").alias("cand_seq"), F.col("result").alias("text"))
-        others = picks.join(texts, "cand_seq").select(
-            "pool_id", "cand_seq", F.lit("random").alias("kind"), "text",
-            F.lit(False).alias("is_true"))
-        candidates = own.unionByName(others)
+        candidates = candidates.unionByName(random_picks(chains, n_distractors - 1, seed).select(
+            "pool_id", F.lit("random").alias("kind"), "cand_seq", F.lit(False).alias("is_true")))
     mixed = Window.partitionBy("pool_id").orderBy(
         digest("pool_id", "kind", "cand_seq", seed), "kind", "cand_seq")
-    return candidates.select(
-        "pool_id", (F.row_number().over(mixed) - 1).alias("pos"), "kind", "text", "is_true")
+    return candidates.withColumn("pos", F.row_number().over(mixed) - 1).select(
+        "pool_id", "pos", "kind", "cand_seq", "is_true")
+
+
+def build_pools(chains: DataFrame, n_distractors: int, seed: int) -> DataFrame:
+    """``pool_id, pos, kind, text, is_true``: the candidates with their texts."""
+    return with_texts(pool_places(chains, n_distractors, seed), chains)
+
+
+def with_texts(places: DataFrame, chains: DataFrame) -> DataFrame:
+    texts = chains.select(F.col("seq").alias("cand_seq"), F.col("result").alias("text"))
+    # A result is flipped once, on the one row whose candidate it is.
+    text = F.when(F.col("kind") == "flip", flip_findings("text")).otherwise(F.col("text"))
+    return places.join(texts, "cand_seq").select("pool_id", "pos", "kind", text.alias("text"), "is_true")
 
 
 def contexts(chains: DataFrame) -> DataFrame:

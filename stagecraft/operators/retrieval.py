@@ -67,6 +67,24 @@ def dense_scores(pools: DataFrame, contexts: DataFrame, opts: Options, *,
     return joined.select("pool_id", "pos", "is_true", dot("_pred", "_vec").alias("score"))
 
 
+def dense_from_store(places: DataFrame, store: DataFrame) -> DataFrame:
+    """Cosine scores of pools given by the chains of their candidates (see pool_places).
+
+    ``store`` holds, once for each chain, the vectors of its context (``pred``), its result
+    (``own``) and its flipped result (``flip``), so no text is encoded twice however many
+    pools it stands in. A pool's own candidates meet both vectors in one row.
+    """
+    candidate = store.select(F.col("seq").alias("cand_seq"), "own", "flip")
+    context = store.select(F.col("seq").cast("string").alias("pool_id"), "pred")
+    own = places.where("kind <> 'random'").join(
+        store.withColumn("pool_id", F.col("seq").cast("string")), "pool_id").select(
+        "pool_id", "pos", "is_true", "pred", F.when(F.col("kind") == "flip", F.col("flip")).otherwise(
+            F.col("own")).alias("vec"))
+    others = places.where("kind = 'random'").join(candidate, "cand_seq").join(context, "pool_id").select(
+        "pool_id", "pos", "is_true", "pred", F.col("own").alias("vec"))
+    return own.unionAll(others).select("pool_id", "pos", "is_true", dot("pred", "vec").alias("score"))
+
+
 def rank_candidates(scored: DataFrame, digits: int | None = None) -> DataFrame:
     """Rank 1 is the best score; equal scores keep their pool order. Scores are rounded
     first only where the caller gives ``digits``."""

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stagecraft.config import Options
-from stagecraft.functions.vectors import Encoder, encode, predict_stage
+from stagecraft.functions.text import flip_findings
+from stagecraft.functions.vectors import Encoder, encode, predict_stage, with_once
 from stagecraft.operators import association, health, labels, lm, losses, pools, retrieval
 from stagecraft.operators.caps import head_n
 from stagecraft.operators.chains import (
@@ -16,10 +17,15 @@ from stagecraft.operators.ordering import assign_batches, block_shuffle
 from stagecraft.scratch import materialise
 
 
-def chain_vectors(chains: DataFrame, opts: Options, encoder: Encoder | None = None) -> DataFrame:
-    """Add ``pred`` (from title..experiment) and ``true`` (of the result)."""
-    with_pred = predict_stage(with_context(chains), "ctx", "pred", opts, encoder=encoder)
-    return encode(with_pred, "result", "true", opts, encoder=encoder).drop("ctx")
+def vector_store(chains: DataFrame, opts: Options, encoder: Encoder | None = None) -> DataFrame:
+    """``seq, pred, own, flip``: the vectors of each chain's context, result and flipped
+    result, each text encoded once; written, since several metrics read them."""
+    texts = with_context(chains.select("seq", "title", "hypothesis", "method", "experiment", "result"))
+    flipped = with_once(texts.select("seq", "ctx", "result"), flip_findings("result").alias("_flipped"))
+    vectors = predict_stage(flipped, "ctx", "pred", opts, encoder=encoder)
+    vectors = encode(vectors, "result", "own", opts, encoder=encoder)
+    vectors = encode(vectors, "_flipped", "flip", opts, encoder=encoder)
+    return materialise(vectors.select("seq", "pred", "own", "flip"), "vectors")
 
 
 def _long(metrics: DataFrame, family: str, *names: str) -> DataFrame:
@@ -28,12 +34,10 @@ def _long(metrics: DataFrame, family: str, *names: str) -> DataFrame:
     return metrics.select(F.inline(rows))
 
 
-def surprise_rows(test: DataFrame, opts: Options, encoder: Encoder | None = None) -> DataFrame:
+def surprise_rows(test: DataFrame, store: DataFrame) -> DataFrame:
     """``seq, field, citations, surprise``: how unexpected each result was."""
-    scored = losses.surprise(chain_vectors(
-        test.select("seq", "field", "citations", "title", "hypothesis", "method",
-                    "experiment", "result"), opts, encoder))
-    return scored.select("seq", "field", "citations", "surprise")
+    scored = losses.surprise(store.select("seq", "pred", F.col("own").alias("true")))
+    return test.select("seq", "field", "citations").join(scored.select("seq", "surprise"), "seq")
 
 
 def evaluate_all(train: DataFrame, test: DataFrame, opts: Options, *,
@@ -41,8 +45,9 @@ def evaluate_all(train: DataFrame, test: DataFrame, opts: Options, *,
                  digits: int | None = None) -> DataFrame:
     """``family, metric, value`` for perplexity, embedding health, F1 and F2.
 
-    Pools are built once and read by both scorers. Pass shard tables (see
-    build_or_reuse), so that the families re-read columns rather than rebuild chains.
+    Pools are built once and read by both scorers, every text is encoded once (see
+    vector_store). Pass shard tables (see build_or_reuse), so that the families re-read
+    columns rather than rebuild chains.
     """
     parts = []
     if opts.eval_perplexity:
@@ -50,25 +55,23 @@ def evaluate_all(train: DataFrame, test: DataFrame, opts: Options, *,
                                       head_n(test, opts.perplexity_eval_examples), opts)
         parts.append(_long(scored, "perplexity", "perplexity", "avg_nll"))
 
-    sample = head_n(test.select("seq", "result"), opts.collapse_eval_examples)
-    vectors = encode(sample, "result", "vec", opts, encoder=encoder)
+    store = vector_store(test, opts, encoder)
+    vectors = head_n(store.select("seq", F.col("own").alias("vec")), opts.collapse_eval_examples)
     parts.append(_long(health.mean_pairwise_cos(vectors), "embedding_health",
                        "mean_pairwise_cos"))
     if with_rank:
         parts.append(_long(health.effective_rank(vectors), "embedding_health",
                            "effective_rank"))
 
-    candidates = materialise(
-        pools.build_pools(test, opts.n_distractors, opts.seed), "pools")
-    context = pools.contexts(test)
-    dense = retrieval.rank_candidates(
-        retrieval.dense_scores(candidates, context, opts, encoder=encoder), digits)
+    places = materialise(pools.pool_places(test, opts.n_distractors, opts.seed), "pools")
+    dense = retrieval.rank_candidates(retrieval.dense_from_store(places, store), digits)
     parts.append(_long(retrieval.retrieval_metrics(dense), "F1_model",
                        "recall_at_1", "recall_at_5", "mrr"))
-    parts.append(_long(retrieval.bm25_recall(retrieval.bm25_scores(candidates, context), digits),
+    lexical = retrieval.bm25_scores(pools.with_texts(places, test), pools.contexts(test))
+    parts.append(_long(retrieval.bm25_recall(lexical, digits),
                        "F1_bm25", "recall_at_1"))
 
-    rows = materialise(surprise_rows(test, opts, encoder), "surprise")
+    rows = materialise(surprise_rows(test, store), "surprise")
     labelled = labels.citation_labels(rows, opts)
     parts.append(_long(association.spearman(rows, "surprise", "citations", "seq", digits), "F2",
                        "spearman_rho", "spearman_p"))

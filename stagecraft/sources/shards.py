@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from stagecraft.plans.dataset import dataset_rows
 
 _MANIFEST = T.StructType([
     T.StructField("signature", T.StringType()),
+    T.StructField("input", T.StringType()),
     T.StructField("counts", T.MapType(T.StringType(), T.LongType())),
 ])
 
@@ -34,29 +37,49 @@ def read_manifest(spark: SparkSession, directory: str) -> dict | None:
         rows = spark.read.schema(_MANIFEST).json(f"{directory}/manifest").take(1)
     except AnalysisException:
         return None
-    if not rows or rows[0]["signature"] is None or rows[0]["counts"] is None:
+    if not rows or rows[0]["counts"] is None or None in (rows[0]["signature"], rows[0]["input"]):
         return None
-    return {"signature": rows[0]["signature"], "counts": dict(rows[0]["counts"])}
+    return {"signature": rows[0]["signature"], "input": rows[0]["input"], "counts": dict(rows[0]["counts"])}
+
+
+def input_fingerprint(papers: DataFrame) -> str:
+    """Row count and sum of row digests: the same for the same rows in any order or layout.
+
+    Columns are read by name, and each value is framed by its length, so neither the order of
+    columns nor a moved character goes unseen. One pass; partial sums meet, not rows.
+    """
+    values = F.array(*[F.col(c).cast("string") for c in sorted(papers.columns)])
+    framed = F.transform(values, lambda v: F.coalesce(
+        F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")))
+    head = F.substring(F.md5(F.array_join(framed, "|")), 1, 15)
+    number = F.conv(head, 16, 10).cast("decimal(38,0)")
+    rows, total = papers.agg(F.count("*"), F.coalesce(F.sum(number), F.lit(0))).first()
+    return f"{rows}-{total}"
 
 
-def build_or_reuse(papers: DataFrame, base: str, opts: Options) -> str:
-    """Build the shards for these options under ``base`` unless they are already there.
+def build_or_reuse(papers: DataFrame, base: str, opts: Options, input_id: str | None = None) -> str:
+    """Build the shards of these papers for these options under ``base`` unless they are
+    already there.
 
-    Each signature has its own directory and the manifest is written last, so a changed
-    setting never meets old shards and an interrupted build is simply redone. Returns the
+    The directory is named by the settings' signature and by the input's identity: a changed
+    setting or other papers never meet old shards, the same rows in another order find theirs.
+    The manifest is written last, so an interrupted build is simply redone. Returns the
     directory, with ``chains`` and ``manifest`` below it.
+
+    The identity is the input's fingerprint, one pass over the papers; a caller that has a
+    cheaper one (the version of a table, say) gives it as ``input_id``.
     """
     spark = papers.sparkSession
-    signature = opts.signature()
-    directory = f"{base.rstrip('/')}/{signature}"
+    signature, identity = opts.signature(), input_id or input_fingerprint(papers)
+    directory = f"{base.rstrip('/')}/{signature}-{hashlib.md5(identity.encode()).hexdigest()[:10]}"
     found = read_manifest(spark, directory)
-    if found and found["signature"] == signature:
+    if found and (found["signature"], found["input"]) == (signature, identity):
         return directory
     chains = f"{directory}/chains"
     rows = dataset_rows(papers, opts)
     write_shards(rows, chains, opts)
     manifest = split_counts(spark.read.schema(rows.schema).parquet(chains)).agg(
         F.map_from_entries(F.collect_list(F.struct("split", "n"))).alias("counts"))
-    (manifest.select(F.lit(signature).alias("signature"), "counts")
+    (manifest.select(F.lit(signature).alias("signature"), F.lit(identity).alias("input"), "counts")
      .coalesce(1).write.mode("overwrite").json(f"{directory}/manifest"))
     return directory

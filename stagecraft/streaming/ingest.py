@@ -30,8 +30,9 @@ def ingest_stream(papers: DataFrame, out: str, checkpoint: str, opts: Options) -
             .trigger(availableNow=True).start())
 
 
-def read_ingested(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/chains").drop("batch_id")
+def read_ingested(spark: SparkSession, out: str, with_batch: bool = False) -> DataFrame:
+    rows = spark.read.parquet(f"{out}/chains")
+    return rows if with_batch else rows.drop("batch_id")
 
 
 def _write_batch(batch: DataFrame, batch_id: int, out: str, opts: Options) -> None:
