@@ -50,7 +50,7 @@ def encode(df: DataFrame, text: str, out: str, opts: Options, *,
     lower-case tokens (the first ``limit``, if one is given) into signed buckets.
     """
     if encoder is not None:
-        return df.withColumn(out, l2_normalise(encoder(F.col(text))))
+        return _encoded(df, F.col(text), out, encoder)
     return _hashed(df, text, out, opts.encoder_dim, limit)
 
 
@@ -62,11 +62,15 @@ def predict_stage(df: DataFrame, context: str, out: str, opts: Options, *,
     context, because it has no use for marker tokens.
     """
     if encoder is not None:
-        return df.withColumn(out, l2_normalise(
-            encoder(prediction_prompt(F.col(context), opts))))
+        return _encoded(df, prediction_prompt(F.col(context), opts), out, encoder)
     return _hashed(df, context, out, opts.encoder_dim, None)
 
 
+def _encoded(df: DataFrame, text: Column, out: str, encoder: Encoder) -> DataFrame:
+    # A column of its own below the generator: a Python function may not stand inside a lambda.
+    return with_once(df.withColumn("_raw", encoder(text)), l2_normalise("_raw").alias(out)).drop("_raw")
+
+
 def token_weights(words: Column, dim: int) -> Column:
     """Sparse counts of signed hash buckets: sorted (bucket from 0, weight), weight not 0.
 

@@ -17,10 +17,16 @@ from stagecraft.operators.ordering import assign_batches, block_shuffle
 from stagecraft.scratch import materialise
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows of a few files dealt to all cores; tables with enough tasks stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def vector_store(chains: DataFrame, opts: Options, encoder: Encoder | None = None) -> DataFrame:
     """``seq, pred, own, flip``: the vectors of each chain's context, result and flipped
     result, each text encoded once; written, since several metrics read them."""
-    texts = with_context(chains.select("seq", "title", "hypothesis", "method", "experiment", "result"))
+    texts = with_context(_spread(chains.select("seq", "title", "hypothesis", "method", "experiment", "result")))
     flipped = with_once(texts.select("seq", "ctx", "result"), flip_findings("result").alias("_flipped"))
     vectors = predict_stage(flipped, "ctx", "pred", opts, encoder=encoder)
     vectors = encode(vectors, "result", "own", opts, encoder=encoder)
