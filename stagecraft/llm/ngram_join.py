@@ -381,16 +381,25 @@ def grouped(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         .alias("component_id"), "tag", "node", "label")
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, all columns kept: that with the smallest doc_id, null ids
     last, of rows with the same id the one with the smallest hash of its text. Ids do not
     make components: unlinked texts stay, whether they share an id or have none. Texts
     with the empty set are linked with nothing; of equal rows of them one stays."""
+    tag, kept_id, kept_tag = (_free(docs, name) for name in ("_tag", "_kept_id", "_kept_tag"))
     alone = F.when(F.col("label").isNull(), F.struct("doc_id", "tag"))
     kept = grouped(docs, n, percent).groupBy("label", alone.alias("_alone")).agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("_none"), "doc_id", "tag")).alias("_first")).select(
-        F.col("_first.doc_id").alias("_kept_id"), F.col("_first.tag").alias("_kept_tag"))
-    rows = docs.withColumn("_tag", F.xxhash64("text")).join(
-        kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept_id"))
-        & (F.col("_tag") == F.col("_kept_tag")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_tag"]).drop("_tag")
+        F.col("_first.doc_id").alias(kept_id), F.col("_first.tag").alias(kept_tag))
+    rows = docs.withColumn(tag, F.xxhash64("text")).join(
+        kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col(kept_id))
+        & (F.col(tag) == F.col(kept_tag)), "left_semi")
+    return rows.dropDuplicates(["doc_id", tag]).drop(tag)

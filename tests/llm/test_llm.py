@@ -328,6 +328,16 @@ def test_one_row_of_each_component_whatever_the_ids(spark):
     assert sorted(kept, key=str) == sorted(want, key=str)
 
 
+def test_no_column_is_lost_where_names_clash(spark):
+    docs = make(spark, [(1, prose(1, 40)), (2, prose(1, 40)), (3, prose(2, 40))])
+    for name in ("_tag", "_kept_id", "_kept_tag", "tag"):
+        docs = docs.withColumn(name, docs.doc_id * 10)
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r._tag, r._kept_id, r._kept_tag, r.tag) for r in kept.collect()) == [
+        (1, 10, 10, 10, 10), (3, 30, 30, 30, 30)]
+
+
 def test_tree_finds_every_close_pair():
     draw = np.random.default_rng(2)
     points = draw.integers(0, 9, (300, 8))
