@@ -403,7 +403,7 @@ def _nll(spark, sf_dir):
 
 @query
 def bigram_model(spark, sf_dir):
-    return lm.fit_bigram(trains(spark, sf_dir)).pairs
+    return lm.fit_bigram(trains(spark, sf_dir)).pairs.select("v", "w", "n")
 
 
 @query

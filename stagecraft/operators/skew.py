@@ -73,7 +73,7 @@ def running_total(df: DataFrame, key: str, out: str, *, weight: Column | None =
 
 
 def lookup_counted(big: DataFrame, lookup: DataFrame, keys: Sequence[str],
-                   count: str = "n") -> DataFrame:
+                   count: str = "n", *, stored: bool = False) -> DataFrame:
     """Join ``big`` to ``lookup``, whose rows are the distinct keys of ``big`` (null among
     them) with their row counts in ``count``. Rows without a partner go, null keys meet
     each other; both whatever the size of the lookup.
@@ -81,19 +81,26 @@ def lookup_counted(big: DataFrame, lookup: DataFrame, keys: Sequence[str],
     The lookup is written once (a job) and its size checked. A small one is broadcast. For
     a large one, ``big`` is read twice: rows of hot keys (at most HOT_SHARE keys) are
     answered from a broadcast and never shuffled, all others go through a shuffled join.
+
+    A ``stored`` lookup is a table already and is not written again; its keys hold no null,
+    so that its buckets (see materialise_buckets) serve the join.
     """
     keys = list(keys)
-    lookup = materialise(lookup, "lookup")
+    if not stored:
+        lookup = materialise(lookup, "lookup")
     payload = [c for c in lookup.columns if c not in keys and c != count]
     key_bytes = F.octet_length(F.concat_ws("", *[F.col(k).cast("string") for k in keys]))
     size, key_size, total = lookup.agg(
         F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)) for c in (key_bytes, F.col(count))]).first()
     found = lookup.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *payload, F.col(count).alias("_count"))
-    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    same = [F.col(k) == F.col(f"_key_{k}") if stored else F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+            for k in keys]
     wanted = [*big.columns, *payload]
     if size <= BROADCAST_ROWS and key_size <= BROADCAST_KEY_BYTES:
         return big.join(F.broadcast(found), same).select(*wanted)
     is_hot = F.col("_count") * HOT_SHARE >= total
     hot, cold = found.where(is_hot), found.where(~is_hot)
+    if stored:
+        cold = cold.hint("merge")  # on its buckets; the other side's size is not known before
     cold_rows = big.join(F.broadcast(hot.drop(*payload)), same, "left_anti").join(cold, same)
     return big.join(F.broadcast(hot), same).select(*wanted).unionAll(cold_rows.select(*wanted))

@@ -98,11 +98,11 @@ def training_losses(train: DataFrame, opts: Options, *,
     ordered = block_shuffle(train.select("seq", "id", "split"), opts.shuffle_buffer, opts.seed)
     batches = materialise(
         assign_batches(ordered, opts.batch_size).select("seq", "batch_id"), "batches")
-    scored = lm.score_bigram(lm.fit_bigram(train), train, opts)
+    scored = lm.score_fitted(lm.fit_bigram(train), train, opts)
     nll = batches.join(scored, "seq").groupBy("batch_id").agg(F.avg("nll").alias("nll"))
     if not opts.edge_loss_enabled:
         return nll.select("batch_id", "nll", F.col("nll").alias("loss"))
-    per_edge = batch_edge_losses(train.join(batches, "seq"), opts, encoder=encoder)
+    per_edge = batch_edge_losses(_spread(train).join(batches, "seq"), opts, encoder=encoder)
     if opts.use_trivial_edge_filter:
         per_edge = losses.drop_trivial_edges(per_edge, opts.trivial_edge_cosine_threshold)
     total = losses.combined_loss(nll, per_edge, opts.edge_loss_weight)

@@ -229,3 +229,47 @@ def test_summaries_and_grid(spark):
     assert len(grid) == 3 * 16
     zero = next(r for r in grid if r["study"] == "lambda" and r["variant"] == "0.0")
     assert zero["settings"]["edge_loss_enabled"] == "false"
+
+
+def test_the_models_own_documents_score_alike_on_its_buckets(spark):
+    """score_fitted answers from the model's buckets, without an exchange of the model; the
+    losses are those of the general path and of a count by hand. One pair stands in all rows."""
+    texts = [f"the same w{i % 7} the same w{i % 3} end{i}" for i in range(60)]
+    stages = ("title", "hypothesis", "method", "experiment", "result", "conclusion")
+    chains = spark.createDataFrame(
+        [(i, *(text if s == "result" else "x" for s in stages)) for i, text in enumerate(texts)],
+        "seq bigint, " + ", ".join(f"{s} string" for s in stages))
+    opts = Options()
+    model = lm.fit_bigram(chains)
+    scored = lm.score_fitted(model, chains, opts)
+    got = {r.seq: r.nll for r in scored.collect()}
+    general = {r.seq: r.nll for r in lm.score_bigram(model, chains, opts).collect()}
+
+    words = [["x"] * 4 + t.split() + ["x"] for t in texts]
+    pairs = Counter(p for w in words for p in zip(w, w[1:]))
+    firsts = Counter(v for w in words for v in w[:-1])
+    size = len({t for w in words for t in w}) + 1
+    for seq, w in enumerate(words):
+        losses = [-math.log((pairs[p] + 1) / (firsts[p[0]] + size)) for p in zip(w, w[1:])]
+        assert math.isclose(got[seq], sum(losses) / len(losses), rel_tol=1e-9)
+        assert math.isclose(general[seq], got[seq], rel_tol=1e-9)
+    assert {r.v + " " + r.w: (r.n, r.first_n) for r in model.pairs.collect()} == {
+        f"{v} {w}": (n, firsts[v]) for (v, w), n in pairs.items()}
+    assert model.pairs.count() == len(pairs)
+
+
+def test_cold_pairs_meet_the_models_buckets_without_an_exchange_of_the_model(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    stages = ("title", "hypothesis", "method", "experiment", "result", "conclusion")
+    chains = spark.createDataFrame(
+        [(i, *(f"a b t{i}{s[0]}" for s in stages)) for i in range(300)],
+        "seq bigint, " + ", ".join(f"{s} string" for s in stages))
+    model = lm.fit_bigram(chains)
+    scored = lm.score_fitted(model, chains, Options())
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    join = plan[plan.index("SortMergeJoin"):]
+    assert "Bucketed: true" in join
+    assert "hashpartitioning(v#" in join and "hashpartitioning(_key_v" not in plan
+    monkeypatch.undo()
+    want = {r.seq: r.nll for r in lm.score_fitted(model, chains, Options()).collect()}
+    assert {r.seq: round(r.nll, 9) for r in scored.collect()} == {s: round(n, 9) for s, n in want.items()}
