@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stagecraft.llm.shipped import Shipped
 from stagecraft.llm.words import batched
 
 K1, B, LEAST, OVERLAP, PART, SHINGLE = 1.2, 0.75, 0.5, 0.8, 0.5, 5
@@ -171,7 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST,
                    "question_overlap double, answer_overlap double")
     out = docs.sparkSession.createDataFrame([], text_schema)
     for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = Shipped(docs.sparkSession, index)
 
         def fill(batch, shared=shared):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
@@ -186,7 +187,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST,
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows, all columns kept, in which no test item is found."""
     for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = Shipped(docs.sparkSession, index)
 
         def run(batches, shared=shared):
             for batch in batches:

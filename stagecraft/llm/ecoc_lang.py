@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stagecraft.llm.shipped import Shipped
 from stagecraft.llm.words import batched, mix
 
 ORDER, BUCKETS, PER_LANG = 3, 1 << 13, 2000
@@ -144,7 +145,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()),
                         ("lang_pred", pa.string()), ("score", pa.float64()),
                         ("ambiguous", pa.bool_())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shipped(docs.sparkSession, model)
 
     def fill(batch):
         for doc_id, out, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "out", "text"))):
@@ -165,7 +166,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
 
     An ambiguous text stays; it has a language, only which one is in doubt.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shipped(docs.sparkSession, model)
 
     def run(batches):
         for batch in batches:

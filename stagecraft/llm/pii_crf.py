@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stagecraft.llm.shipped import Shipped
 from stagecraft.llm.words import batched
 
 KINDS = ("email", "ip", "card", "phone")
@@ -320,7 +321,7 @@ def find(docs: DataFrame, model: Crf) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS),
                         ("base_sha256", pa.string()), ("spans", pa.string()),
                         ("n_added", pa.int64())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shipped(docs.sparkSession, model)
 
     def fill(batch):
         found = find_all(batch["text"].to_pylist(), shared.value)
@@ -346,7 +347,7 @@ def masked(text: str, spans) -> str:
 
 def mask(docs: DataFrame, model: Crf) -> DataFrame:
     """The same rows and columns with personal data masked in ``text``; null stays null."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shipped(docs.sparkSession, model)
     place = docs.columns.index("text")
 
     def run(batches):
