@@ -1,27 +1,38 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped so that every block element is a line of its own; lines inside
-navigation, headers, footers, forms, adverts, notices, comments and the like weigh
-nothing. On pages with text in an ``article`` or ``main`` element that is not itself in
-such a place, what stands outside of these elements weighs nothing either. Text lengths
-are summed over windows of ``WINDOW`` lines: a surge is the first line after a run of
-empty windows whose own weight starts them to rise, a dive is where the windows are empty
-again. What stands between a surge and its dive is a stretch, however short beside others
-of the page. All weighing lines of the stretches are the text, so nothing else is dropped.
+Markup is stripped so that every block element is a line of its own. A line weighs the
+characters it has outside of links, less those inside; names of elements, classes and ids
+change weights: lines of navigation, headers, footers, forms, adverts, notices, comments and
+the like weigh nothing and take no place among the lines, a line of an ``article`` or
+``main`` element weighs all its characters and at least the threshold. On pages with text in
+such an element that is not itself in a wasted place, lines outside of these elements weigh
+nothing and take no place either.
+
+Weights are summed over windows of ``WINDOW`` lines around each line. The threshold comes
+from the page: ``SHARE`` of the window sum that its average weighing character sees,
+``CEILING`` at most. A stretch runs as long as the windows hold weight, and counts if one of
+them reaches the threshold. Its surge is the first line that carries its share of the
+threshold (a line of a paragraph does whatever its length, a heading if what follows it
+does), its dive is after the last such line. All lines from surge to dive are the text: a
+short list between paragraphs stays, a menu before them, a list of links after them and
+three lines of links among them go.
 
 Names of classes and ids tell what such a place is. What follows "with", "has", "no" and
 the like in a name says nothing about the element itself. A name with "wrap" or
 "container" counts unless the element holds most of the page's text, or, if the name has
 other pieces too ("content-sidebar-wrap"), an article or main element.
 
-Defined results: a null or empty page, or one without text, has the empty string.
+Defined results: a null or empty page, or one without text outside of links, has the empty
+string. Rows are judged alone: repeated rows and null ids or urls stay as they are.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +42,8 @@ from pyspark.sql import functions as F
 from stagecraft.llm.words import batched
 
 WINDOW = 3
+SHARE = 0.5
+CEILING = 150
 _RAW = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b[^>]*>"
     r".*?(?:</\1\s*>|\Z)|<![^>]*>?|<\?[^>]*>?", re.S | re.I)
@@ -88,32 +101,72 @@ def _wasted(name: str, attributes: str) -> int:
                default=_CLEAR)
 
 
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """Text of each line, whether it is waste, whether it stands in an article."""
-    out: list[tuple[str, bool, bool]] = []
+class Line(NamedTuple):
+    text: str
+    waste: bool
+    main: bool
+    plain: int  # characters outside of links less those inside, 0 at least
+    prose: bool  # in a paragraph or the like
+    heading: bool
+
+
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PROSE = frozenset("p blockquote pre".split())
+_LINK = re.compile(r"\bhref\s*=", re.I)
+
+
+def _squeezed(pieces: list[str]) -> str:
+    return " ".join(html.unescape("".join(pieces)).split())
+
+
+def lines(page: str) -> list[Line]:
+    """The lines of a page, in time linear in its length."""
+    out: list[Line] = []
     pieces: list[str] = []
-    opened: list[tuple[str, int]] = []
+    linked: list[str] = []  # those of the pieces that stand in links
+    opened: list[tuple[str, int, bool]] = []
+    count: Counter[str] = Counter()  # open elements by name
     wraps: list[list[int]] = []  # first line, end and kind of each wrapper
     open_wraps: list[list[int]] = []
-    waste = main = 0
+    waste = main = links = prose = headings = 0
+
+    def add(piece):
+        if piece:
+            pieces.append(piece)
+            if links:
+                linked.append(piece)
 
     def close_line():
-        text = " ".join(html.unescape("".join(pieces)).split())
-        pieces.clear()
+        text = _squeezed(pieces)
         if text:
-            out.append((text, waste > 0, main > 0))
+            plain = len(text) - 2 * len(_squeezed(linked)) if linked else len(text)
+            out.append(Line(text, waste > 0, main > 0, max(plain, 0), prose > 0, headings > 0))
+        pieces.clear()
+        linked.clear()
+
+    def tally(name, bad, link, by):
+        nonlocal waste, main, links, prose, headings
+        count[name] += by
+        waste += by * (bad == _BAD)
+        main += by * (name in _MAIN)
+        links += by * link
+        prose += by * (name in _PROSE)
+        headings += by * (name in _HEADINGS)
 
     def pop():
-        nonlocal waste, main
-        name, bad = opened.pop()
-        waste -= bad == _BAD
+        name, bad, link = opened.pop()
+        tally(name, bad, link, -1)
         if bad in (_WRAP, _MIXED_WRAP):
             open_wraps.pop()[1] = len(out)
-        main -= name in _MAIN
+
+    def pop_to(name):
+        while opened[-1][0] != name:
+            pop()
+        pop()
 
     page, at = _RAW.sub(" ", page), 0
     for tag in _TAG.finditer(page):
-        pieces.append(page[at : tag.start()])
+        add(page[at : tag.start()])
         at = tag.end()
         closing, name = tag[1], tag[2].lower()
         if name == "br":
@@ -123,37 +176,33 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         if name in _VOID or tag[3].endswith("/"):
             continue
         if closing:
-            if any(n == name for n, _ in opened):
-                while opened[-1][0] != name:
-                    pop()
-                pop()
+            if count[name]:
+                pop_to(name)
             continue
         bad = _wasted(name, tag[3])
         if bad and name not in _BLOCK:
             close_line()
         while opened and name in _CLOSES.get(opened[-1][0], ()):
             pop()
-        if name in _BLOCK and any(n == "p" for n, _ in opened) and name in _CLOSES["p"]:
-            while opened[-1][0] != "p":  # what a paragraph left open ends with it
-                pop()
-            pop()
-        opened.append((name, bad))
-        waste += bad == _BAD
+        if name in _CLOSES["p"] and count["p"]:
+            pop_to("p")  # what a paragraph left open ends with it
+        link = name == "a" and _LINK.search(tag[3]) is not None
+        opened.append((name, bad, link))
+        tally(name, bad, link, 1)
         if bad in (_WRAP, _MIXED_WRAP):
             wraps.append([len(out), -1, bad])
             open_wraps.append(wraps[-1])
-        main += name in _MAIN
-    pieces.append(page[at:])
+    add(page[at:])
     close_line()
     return _without_wraps(out, wraps) if wraps else out
 
 
-def _without_wraps(found: list[tuple[str, bool, bool]], wraps: list[list[int]]):
+def _without_wraps(found: list[Line], wraps: list[list[int]]) -> list[Line]:
     """The lines, those of wrappers of waste marked as waste."""
     sums, mains = [0], [0]
-    for text, bad, main in found:
-        sums.append(sums[-1] + (0 if bad else len(text)))
-        mains.append(mains[-1] + (main and not bad))
+    for line in found:
+        sums.append(sums[-1] + (0 if line.waste else len(line.text)))
+        mains.append(mains[-1] + (line.main and not line.waste))
     edge = [0] * (len(found) + 1)
     for first, end, kind in wraps:
         end = len(found) if end < 0 else end
@@ -161,27 +210,60 @@ def _without_wraps(found: list[tuple[str, bool, bool]], wraps: list[list[int]]):
                 kind == _MIXED_WRAP and mains[end] > mains[first]):
             edge[first] += 1
             edge[end] -= 1
-    return [(text, bad or depth > 0, main)
-            for (text, bad, main), depth in zip(found, accumulate(edge))]
+    return [line._replace(waste=line.waste or depth > 0)
+            for line, depth in zip(found, accumulate(edge))]
+
+
+def window_sums(weights: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Sum of the weights of the lines around each line, itself among them."""
+    total = np.concatenate(([0], np.cumsum(weights)))
+    at = np.arange(len(weights))
+    before = (window - 1) // 2
+    return (total[np.minimum(at - before + window, len(weights))]
+            - total[np.maximum(at - before, 0)])
+
+
+def threshold(weights: np.ndarray, window: int = WINDOW, share: float = SHARE,
+              ceiling: float = CEILING) -> float:
+    """What a window has to hold, from the page's own window sums."""
+    seen = window_sums(weights, window)
+    total = int(weights.sum())
+    return min(ceiling, share * float((weights * seen).sum()) / total) if total else 0.0
 
 
-def stretches(weights: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """From each surge to its dive: line ranges whose windows hold text throughout."""
-    if not len(weights):
-        return []
-    sums = np.convolve(weights, np.ones(window, np.int64))[window - 1 :]
+def stretches(weights: np.ndarray, strong: np.ndarray, least: float,
+              window: int = WINDOW) -> list[tuple[int, int]]:
+    """Line ranges from surge to dive, the end exclusive."""
+    sums = window_sums(weights, window)
     full = np.concatenate(([False], sums > 0, [False]))
     edge = np.flatnonzero(full[1:] != full[:-1])
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+    out = []
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        carried = np.flatnonzero(strong[a:b])
+        if len(carried) and sums[a:b].max() >= least:
+            out.append((a + int(carried[0]), a + int(carried[-1]) + 1))
+    return out
 
 
-def main_text(page: str | None, window: int = WINDOW) -> str:
-    found = lines(page or "")
-    inside = any(main and not bad for _, bad, main in found)
-    weights = np.array([0 if bad or (inside and not main) else len(text)
-                        for text, bad, main in found], np.int64)
-    return "\n\n".join(found[i][0] for a, b in stretches(weights, window)
-                       for i in range(a, b) if weights[i])
+def main_text(page: str | None, window: int = WINDOW, share: float = SHARE,
+              ceiling: float = CEILING) -> str:
+    found = [line for line in lines(page or "") if not line.waste]
+    if any(line.main for line in found):
+        found = [line for line in found if line.main]
+    raw = np.array([len(line.text) if line.main else line.plain for line in found], np.int64)
+    least = threshold(raw, window, share, ceiling)
+    weights = np.array([max(w, least) if line.main else w
+                        for w, line in zip(raw.tolist(), found)], np.float64)
+    strong = np.zeros(len(found), bool)
+    follows = False  # whether the next line that is no heading is strong
+    for i in range(len(found) - 1, -1, -1):
+        line = found[i]
+        if line.heading and not line.main:
+            strong[i] = weights[i] > 0 and follows
+        else:
+            strong[i] = follows = weights[i] > 0 and (line.prose or window * weights[i] >= least)
+    return "\n\n".join(found[i].text for a, b in stretches(weights, strong, least, window)
+                       for i in range(a, b))
 
 
 def extract(pages: DataFrame, window: int = WINDOW) -> DataFrame:

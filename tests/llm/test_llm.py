@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -205,6 +206,56 @@ def test_pages_keep_their_main_text(page, want):
     assert line_blocks.main_text(page) == "\n\n".join(want)
 
 
+STORY = ["The story goes on and on for a while.", "Short.", "It has a second part that is longer."]
+MENU = "<ul><li>Home</li><li>About</li><li>News</li></ul>"
+LINKS = "<div><a href=a>One more</a></div><div><a href=b>Two more</a></div><div><a href=c>Three more</a></div>"
+
+
+def told(*between):
+    parts = [f"<p>{t}</p>" for t in STORY]
+    return parts[0] + "".join(between) + parts[1] + parts[2]
+
+
+@pytest.mark.parametrize("page, want", [
+    (MENU + told() + LINKS, STORY),
+    (LINKS + MENU + "<h1>Title</h1>" + told() + "<h4>Elsewhere</h4>" + LINKS + MENU, ["Title", *STORY]),
+    (told(LINKS), STORY),
+    (told("<ul><li>one</li><li>two</li></ul>"), [STORY[0], "one", "two", *STORY[1:]]),
+    (told("<div><a href=x>see here</a></div>"), [STORY[0], "see here", *STORY[1:]]),
+    (LINKS, []), ("<article>" + LINKS + "</article>" + told(), ["One more", "Two more", "Three more"])])
+def test_surge_and_dive_decide_without_names(page, want):
+    assert line_blocks.main_text(page) == "\n\n".join(want)
+
+
+def test_the_window_decides_what_stays():
+    page = told(LINKS)
+    assert "Two more" in line_blocks.main_text(page, window=7)
+    far = MENU + LINKS + told()
+    assert "Home" in line_blocks.main_text(far, share=0.0)
+    weights = np.random.default_rng(5).integers(0, 40, 60)
+    for window in (1, 2, 3, 6):
+        before = (window - 1) // 2
+        assert line_blocks.window_sums(weights, window).tolist() == [
+            sum(weights[max(i - before, 0):max(i - before + window, 0)]) for i in range(60)]
+
+
+def test_deep_and_broken_markup_takes_linear_time():
+    start = time.process_time()
+    for page in ("<div>" * 20_000 + "x", "<b>" * 20_000 + "</i>" * 20_000, "<p><b>" * 20_000):
+        line_blocks.main_text(page)
+    assert time.process_time() - start < 5
+
+
+def test_pages_of_every_kind_are_extracted(spark):
+    long = "<p>" + "word " * 200_000 + "</p>"
+    rows = [(1, "u", None), (2, None, ""), (None, None, "<p>a b</p>"), (None, None, "<p>a b</p>"),
+            (3, "u", long)]
+    wide = pages(spark, rows).selectExpr("*", "'x' AS text", "1 AS n_chars")
+    got = sorted(((r.page_id, r.text[:9], r.n_chars) for r in line_blocks.extract(wide).collect()), key=str)
+    assert got == sorted([(1, "", 0), (2, "", 0), (None, "a b", 3), (None, "a b", 3), (3, "word word", 999_999)], key=str)
+    assert line_blocks.extract(pages(spark, [])).count() == 0
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id bigint, url string, html string")
 
