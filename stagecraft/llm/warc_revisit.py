@@ -1,9 +1,12 @@
 """WARC archives in which repeated payloads are revisit records.
 
 Only narrow headers (id, digest, length) are grouped by digest, with partial aggregation,
-so a payload that a third of all pages share is one row per map task. Payloads cross the
+so a payload that a third of all pages share is one row per map task. Digests found on
+several pages are joined back to the headers by ``lookup_counted``: those of very many
+pages are answered from a broadcast, so they do not meet in one task. Payloads cross the
 network once, to be written next to their fresh headers. Archives are gzip files of at
-most ``RECORDS`` records; Spark's committer replaces the files of a lost task.
+most ``RECORDS`` records, read as streams, one record at a time; Spark's committer replaces
+the files of a lost task.
 
 Defined results: a null html is the empty payload. Of equal payloads of at least
 ``LEAST`` bytes the record with the largest page_id is the response (all of them, should
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagecraft.llm.words import batched
+from stagecraft.operators.skew import lookup_counted
 
 LEAST, RECORDS = 1000, 20_000
 DATE = "2024-01-01T00:00:00Z"
@@ -29,15 +33,16 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 def resolve(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """For each page_id and payload: digest, length and the page that holds the payload."""
+    """For each page whose payload stands on several rows: digest, length and the page that
+    holds the payload (``holder``)."""
     heads = pages.select(
         F.col("page_id").cast("bigint"), "url",
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
     ).select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload")
-             .cast("bigint").alias("bytes"))
-    first = heads.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(
-        F.max("page_id").alias("holder"))
-    return heads.distinct().join(first, ["digest", "bytes"], "left")
+             .cast("bigint").alias("bytes")).where(F.col("bytes") >= least)
+    shared = heads.groupBy("digest", "bytes").agg(
+        F.max("page_id").alias("holder"), F.count("*").alias("n")).where("n > 1")
+    return lookup_counted(heads, shared, ["digest", "bytes"]).distinct()
 
 
 def _field(name: str, value: Column) -> Column:
@@ -61,7 +66,7 @@ def records(pages: DataFrame, least: int = LEAST, date: str = DATE) -> DataFrame
         F.col("page_id").alias("_id"), F.col("digest").alias("_digest"),
         F.col("bytes").alias("_bytes"), "holder")
     joined = wide.join(known, wide.page_id.eqNullSafe(known._id)
-                       & (wide.digest == known._digest) & (wide.bytes == known._bytes))
+                       & (wide.digest == known._digest) & (wide.bytes == known._bytes), "left")
     again = F.coalesce(F.col("holder") != F.coalesce("page_id", F.col("holder") - 1), F.lit(False))
     block = F.concat(F.lit(_HTTP), F.when(again, "").otherwise(F.col("payload")))
     url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -88,15 +93,15 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, date: str =
         "compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse(data: bytes):
-    """Headers and block of each record, by Content-Length."""
-    at = 0
-    while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        fields = dict(line.split(": ", 1) for line in data[at:head].decode().split("\r\n")[1:])
-        to = head + 4 + int(fields["Content-Length"])
-        yield fields, data[head + 4 : to]
-        at = to + 4
+def parse(stream):
+    """Headers and block of each record, by Content-Length; holds one record at a time."""
+    while stream.readline():  # the version
+        fields = {}
+        while (line := stream.readline().decode().rstrip("\r\n")):
+            name, value = line.split(": ", 1)
+            fields[name] = value
+        yield fields, stream.read(int(fields["Content-Length"]))
+        stream.read(4)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -108,7 +113,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     def fill(batch):
         for content in batch["content"]:
-            for fields, block in parse(gzip.decompress(content.as_py())):
+            for fields, block in parse(gzip.open(pa.BufferReader(content.as_buffer()))):
                 payload = block.partition(b"\r\n\r\n")[2]
                 size = int(fields["X-Payload-Length"])
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
