@@ -1,5 +1,9 @@
 """DuckDB statements for the dealt operators that SQL can express."""
 
+import string
+
+from stagecraft.llm import url_vocab
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op6_warc_revisits"] = """
@@ -75,3 +79,32 @@ ends AS (SELECT rid, arg_max(h, step) AS folded_root FROM folded GROUP BY rid)
 SELECT r.doc_id, r.leaf, r.subroot, r.root, sha256(coalesce(p.proof, '')) AS proof_sha256, l.folded_root,
   l.folded_root = r.root AS verified
 FROM marked r JOIN ends l ON l.rid = r.rid LEFT JOIN proofs p ON p.rid = r.rid"""
+
+
+def _hits(terms) -> str:
+    """How many different terms stand alone in the lower-cased host and path."""
+    alone = (f"regexp_matches(body, '(^|[^\\p{{L}}\\p{{N}}]){t}($|[^\\p{{L}}\\p{{N}}])')::BIGINT" for t in terms)
+    return " + ".join(alone)
+
+
+_UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
+_RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in url_vocab.RULES)
+
+ORACLES["op10_url_vocabulary"] = f"""
+WITH named AS (
+  SELECT page_id, row_number() OVER () AS rid,
+    translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+    regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+rules(of_host, start, says) AS (VALUES {_RULES}),
+fitting AS (
+  SELECT rid, arg_max(of_host || start, length(of_host || start)) AS rule, arg_max(says, length(of_host || start)) AS says
+  FROM named JOIN rules ON (host = of_host OR ends_with(host, '.' || of_host)) AND starts_with(path, start)
+  GROUP BY rid),
+counted AS (
+  SELECT *, {_hits(url_vocab.STRICT)} AS n_strict, {_hits(url_vocab.SOFT)} AS n_soft
+  FROM (SELECT *, translate(host || path, '{_UPPER}', '{_LOWER}') AS body FROM named))
+SELECT page_id, host, path, rule,
+  coalesce(says, CASE WHEN n_strict > 0 OR n_soft >= {url_vocab.SOFT_NEEDED} THEN 'block' ELSE 'allow' END) AS verdict,
+  n_strict, n_soft
+FROM counted LEFT JOIN fitting USING (rid)"""
