@@ -24,6 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stagecraft.llm.order import order_key, tie
 from stagecraft.operators.skew import with_range
 from stagecraft.scratch import materialise
 
@@ -59,7 +60,7 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("bigint"), F.col("source").cast("string"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.xxhash64("text").alias("_tie"))
+        tie("text").alias("_tie"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -99,7 +100,8 @@ def placed(base: DataFrame, block: int = BLOCK, weights: Sequence[int] = WEIGHTS
            most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """Rows of ``sized`` with their source's number, target and their first word's offset;
     and the sources with their numbers of blocks and slots."""
-    ranged = with_range(base, "doc_id", "_range").fillna(1 << 20, "_range")
+    ranged = with_range(base.withColumn("_at", order_key("doc_id", "_tie")), "_at",
+                        "_range").drop("_at")
     totals = ranged.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     sources = totals.groupBy("source").agg(F.sum("_sum").alias("source_size"))
     blocks = F.ceil(F.col("source_size") / block).cast("bigint")
@@ -114,7 +116,8 @@ def placed(base: DataFrame, block: int = BLOCK, weights: Sequence[int] = WEIGHTS
     starts = starts.join(other, F.col("source").eqNullSafe(F.col("_s"))).select(
         F.col("source").alias("_s"), F.col("_range").alias("_r"), "_start", "source_size",
         "number", "target")
-    by_row = Window.partitionBy("source", "_range").orderBy("doc_id", "_tie").rowsBetween(
+    by_row = Window.partitionBy("source", "_range").orderBy(
+        F.col("doc_id").asc_nulls_last(), "_tie").rowsBetween(
         Window.unboundedPreceding, -1)
     inner = ranged.withColumn("_local", F.coalesce(F.sum("size").over(by_row), F.lit(0)))
     rows = inner.join(starts, F.col("source").eqNullSafe(F.col("_s"))
@@ -184,7 +187,7 @@ def mixed_blocks(docs: DataFrame, seed: int = 1, block: int = BLOCK,
     """The mix itself: shard, place, source, doc_ids and text of each block read."""
     rows, sources = placed(materialise(sized(docs), "mix-sizes"), block, weights, most)
     cut = pieces(rows, block).join(
-        docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"),
+        docs.select(F.col("doc_id").alias("_id"), tie("text").alias("_t"),
                     F.regexp_extract_all("text", F.lit(f"({WORD})")).alias("_words"))
         .dropDuplicates(["_id", "_t"]),
         F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t")))

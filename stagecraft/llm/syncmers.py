@@ -3,33 +3,38 @@
 Every window of ``K`` code points is looked at; it is an anchor if the smallest of its
 inner ``S``-code-point substrings (by hash) lies at its first or last place. Whether a
 window is chosen depends on its own content alone, so two texts that share a passage
-share the anchors inside it, wherever it stands. A fingerprint is the sorted ``KEPT``
-smallest distinct anchor hashes, 8 hex digits each; its likeness to another estimates the
-Jaccard similarity of the two anchor sets.
+share the anchors inside it, wherever it stands. A fingerprint holds the ``KEPT`` smallest
+distinct anchor hashes, 8 hex digits each, in the order in which they first stand in the
+text. Two fingerprints are matched by position: of the anchors they share, the longest chain
+that keeps the order in both texts counts. Likeness is that chain's share of the smallest
+hashes of both together: it estimates the Jaccard similarity of the anchor sets for texts
+that agree in order, and falls where passages have changed places.
 
 Defined results: a null text counts as empty; the empty text has the empty fingerprint,
 which is like itself (1.0) and unlike any other (0.0). A text without an anchor (shorter
 than about 2 K) has one hash, that of the whole text. Equal texts have equal fingerprints.
-Documents are ordered by doc_id, null ids last, rows with the same id by text; the
-document after the last is the first, so a lone document follows itself. doc_id identifies
-rows: ids shared by many rows put those into one task.
+Documents are ordered by doc_id, null ids last, rows with the same id by a hash of their
+text, then the text; the document after the last is the first, so a lone document follows
+itself. Ranges are cut from (doc_id, hash), so many rows of one id, or of none, are dealt
+to many tasks; only rows equal in both stay together.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stagecraft.llm.order import order_key, tie
 from stagecraft.llm.words import (
     batched, code_points, gram_hashes, mix, run_hashes, signed, sliding_min)
 from stagecraft.operators.skew import with_range
 
 K, S, KEPT = 12, 5, 64
-NO_ID = 1 << 20  # the range of null ids, behind all others
 
 
 def anchors(codes: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +52,7 @@ def anchors(codes: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.n
 
 
 def fingerprint(text: str, k: int = K, s: int = S, kept: int = KEPT) -> np.ndarray:
-    """The smallest distinct anchor hashes in rising order."""
+    """The smallest distinct anchor hashes in the order of their first places."""
     if not text:
         return np.empty(0, np.uint32)
     codes = code_points(text)
@@ -56,11 +61,15 @@ def fingerprint(text: str, k: int = K, s: int = S, kept: int = KEPT) -> np.ndarr
         found = run_hashes(mix(codes.astype(np.uint64) + np.uint64(1)), np.array([0]),
                            np.array([len(codes)]))
     short = (found >> np.uint64(32)).astype(np.uint32)
+    part = short
     if len(short) > 4 * kept:  # what is left of the smallest after repeats go is checked below
-        part = np.unique(np.partition(short, 4 * kept - 1)[: 4 * kept])
-        if len(part) >= kept:
-            return part[:kept]
-    return np.unique(short)[:kept]
+        part = np.partition(short, 4 * kept - 1)[: 4 * kept]
+    least = np.unique(part)[:kept]
+    if len(least) < kept and len(part) < len(short):
+        least = np.unique(short)[:kept]
+    placed = short[short <= least[-1]]
+    _, first = np.unique(placed, return_index=True)
+    return placed[np.sort(first)]
 
 
 def as_text(print_: np.ndarray) -> str:
@@ -68,12 +77,21 @@ def as_text(print_: np.ndarray) -> str:
 
 
 def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
-    """Share of common hashes among the smallest of both fingerprints together."""
+    """Share of the longest common chain in the smallest hashes of both fingerprints."""
     if not len(a) and not len(b):
         return 1.0
     union = np.union1d(a, b)[:kept]
-    both = np.intersect1d(a, b, assume_unique=True)
-    return float(np.isin(union, both, assume_unique=True).sum() / len(union))
+    place = {h: i for i, h in enumerate(b.tolist()) if h <= union[-1]}
+    return chain_length([place[h] for h in a.tolist() if h in place]) / len(union)
+
+
+def chain_length(places: list[int]) -> int:
+    """Length of the longest rising subsequence of different numbers."""
+    ends: list[int] = []  # the smallest end of a chain of each length
+    for at in places:
+        k = bisect_left(ends, at)
+        ends[k : k + 1] = [at]
+    return len(ends)
 
 
 def syncmer_anchors(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
@@ -90,29 +108,32 @@ def syncmer_anchors(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Deal the documents into ranges of doc_id and sort them; the first document of each
-    range also goes, marked ``ahead``, behind the last one of the range before it.
+    """Deal the documents into ranges of (doc_id, hash) and sort them; the first document of
+    each range also goes, marked ``ahead``, behind the last one of the range before it.
 
     Texts cross the network once. The table of ranges has at most as many rows as there
     are shuffle partitions.
     """
-    docs = with_range(docs.select(F.col("doc_id").cast("bigint"), "text"), "doc_id", "_range"
-                      ).fillna(NO_ID, "_range")
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text", tie("text").alias("hash"))
+    docs = with_range(docs.withColumn("_at", order_key("doc_id", "hash")), "_at", "_range")
     order = Window.orderBy("_range")  # one row a range
-    firsts = docs.groupBy("_range").agg(F.min("doc_id").alias("_first"))
+    where = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    firsts = docs.groupBy("_range").agg(F.min(where).alias("_first"))
     last = F.max("_range").over(order.rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing))
     firsts = firsts.select("_range", "_first",
                            F.coalesce(F.lag("_range").over(order), last).alias("_before"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    goes = F.when(F.col("doc_id").eqNullSafe(F.col("_first")), F.array(
+    goes = F.when(where.eqNullSafe(F.col("_first")), F.array(
         F.struct(F.col("_range").alias("part"), F.lit(False).alias("ahead")),
         F.struct(F.col("_before").alias("part"), F.lit(True).alias("ahead")))).otherwise(
         F.array(F.struct(F.col("_range").alias("part"), F.lit(False).alias("ahead"))))
     dealt = docs.join(F.broadcast(firsts), "_range").select(
-        F.explode(goes).alias("_to"), "doc_id", "text").select("_to.*", "doc_id", "text")
+        F.explode(goes).alias("_to"), "doc_id", "text", "hash").select(
+        "_to.*", "doc_id", "text", "hash")
     return dealt.repartition(parts, "part").sortWithinPartitions(
-        "part", "ahead", F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
+        "part", "ahead", F.col("doc_id").asc_nulls_last(), "hash",
+        F.col("text").asc_nulls_first()).drop("hash")
 
 
 _OUT = pa.schema([
