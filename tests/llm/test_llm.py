@@ -12,6 +12,7 @@ import corpus_pipeline
 from stagecraft.llm import (
     bm25_decon, ecoc_lang, fm_dedup, line_blocks, mixture, ngram_join, pii_crf, syncmers,
     url_vocab, warc_revisit)
+from stagecraft.operators import skew
 from stagecraft.llm.words import code_points, mix, sliding_min, word_hashes
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, node string"
@@ -70,6 +71,58 @@ def test_fingerprints_follow_the_next_document(spark, odd):
     assert syncmers.fingerprints(odd.limit(0)).count() == 0
 
 
+def likeness_by_definition(a, b, kept=64):
+    """Likeness from all anchors: the common ones among the smallest, longest chain in order."""
+    def first_places(text):
+        out = {}
+        for p, h in zip(*(x.tolist() for x in syncmers.anchors(code_points(text)))):
+            out.setdefault(h >> 32, p)
+        return out
+
+    x, y = first_places(a), first_places(b)
+    least = set(sorted(x)[:kept]) | set(sorted(y)[:kept])
+    least = set(sorted(least)[:kept])
+    both = sorted((h for h in least if h in x and h in y), key=x.get)
+    best = [0] * len(both)
+    for i, h in enumerate(both):
+        best[i] = 1 + max((best[j] for j in range(i) if y[both[j]] < y[h]), default=0)
+    return max(best, default=0) / len(least)
+
+
+def test_likeness_follows_the_order_of_anchors(spark):
+    texts = [prose(s, n, 3000) for s, n in ((40, 300), (41, 50), (42, 2000), (43, 12))]
+    a = texts[0]
+    texts += [a, a[900:] + " " + a[:900], a.replace("w1", "v1"), a + " " + a]
+    docs = make(spark, list(enumerate(texts)))
+    rows = sorted(syncmers.fingerprints(docs).collect(), key=lambda r: r.doc_id)
+    marks = [syncmers.fingerprint(t) for t in texts]
+    for i, row in enumerate(rows):
+        after = texts[(i + 1) % len(texts)]
+        assert row.near_next == likeness_by_definition(texts[i], after)
+        assert row.near_edited == likeness_by_definition(texts[i], syncmers.edited(texts[i], after))
+        assert row.fingerprint == syncmers.as_text(marks[i])
+    swapped = syncmers.likeness(marks[0], marks[5])
+    assert 0.3 < swapped < 0.8 and syncmers.likeness(marks[0], marks[4]) == 1.0
+    got = {(r.doc_id, r.position) for r in syncmers.syncmer_anchors(docs).collect()}
+    assert got == {(i, p) for i, t in enumerate(texts) for p in syncmers.anchors(code_points(t))[0].tolist()}
+
+
+def largest_to_median(df):
+    sizes = sorted(df.rdd.glom().map(len).collect())
+    return sizes[-1] / sizes[len(sizes) // 2]
+
+
+def test_rows_without_an_id_are_dealt_to_many_tasks(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, prose(i, 9, 5000)) for i in range(3000)]
+    dealt = syncmers.with_next(make(spark, rows))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt.count() <= 3000 + parts
+    by_part = sorted(r["count"] for r in dealt.groupBy("part").count().collect())
+    assert len(by_part) == parts and by_part[-1] <= 4 * by_part[len(by_part) // 2]
+    got = Counter((r.doc_id, r.n_chars) for r in syncmers.fingerprints(make(spark, rows)).collect())
+    assert got == Counter((i, len(t)) for i, t in rows)
+
+
 def brute_removed(texts, window=35):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     seen = Counter(tuple(w[i:i + window]) for w in words for i in range(len(w) - window + 1))
@@ -337,6 +390,25 @@ def test_permutation_is_one_to_one(spark):
         assert sorted(r.p for r in got.collect()) == list(range(n))
 
 
+def test_a_payload_of_a_third_of_all_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    body = "z" * 1200
+    rows = [(i, f"http://h/{i}", body if i % 3 == 0 else f"{i} " * 400) for i in range(900)]
+    rows += [(900 + i, "u", f"{i % 50} " * 500) for i in range(300)]
+    docs = pages(spark, rows).selectExpr("*", "'x' AS digest", "1L AS holder", "2L AS bytes", "'y' AS payload")
+    known = warc_revisit.resolve(docs)
+    assert {r.page_id: r.holder for r in known.collect()} == {
+        i: 897 if i < 900 else 1150 + i % 50 for i, _, t in rows if i >= 900 or i % 3 == 0}
+    # Hot keys are answered from a broadcast, then dealt by page: no exchange holds the digest alone.
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and largest_to_median(known) < 4
+    warc_revisit.write_archives(docs, str(tmp_path / "w"))
+    got = {r.page_id: r for r in warc_revisit.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert len(got) == 1200 and got[3].refers_to == 897 and got[897].refers_to is None
+    assert got[1].record_type == "response" and got[901].refers_to == 1151
+    warc_revisit.write_archives(docs.limit(0), str(tmp_path / "none"))
+
+
 @pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
 def test_join_matches_brute_force(spark, n, percent, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 7)
@@ -400,6 +472,14 @@ def test_tree_finds_every_close_pair():
     assert got == want
 
 
+def test_urls_of_every_kind(spark):
+    rows = [(None, "http://a.com/free/bets", "x")] * 2 + [(1, None, "x"), (1, "http://h/" + "a/" * 50_000 + "porn", "x")]
+    docs = spark.createDataFrame(rows, "page_id bigint, url string, host string")
+    got = Counter((r.page_id, r.verdict) for r in url_vocab.judge_urls(docs).collect())
+    assert got == {(None, "block"): 2, (1, "allow"): 1, (1, "block"): 1}
+    assert url_vocab.judge_urls(docs.limit(0)).count() == 0
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://A.Example.NET/en/x?q#f"), (2, "http://x.net/"), (3, "http://casino.com/a"),
             (4, "http://essex.com/alphabet"), (5, "http://free-bets.com"), (6, None), (7, "no"), (8, "a://h"),
