@@ -3,15 +3,20 @@
 Texts are lower-cased and cut into ``\\w+`` tokens. A training text is queried passage by
 passage: overlapping windows of twice the longest item (``STRIDE`` at least), so every item
 lies whole inside some window. Scores are shares of the score an item has against itself.
-Items lie in blocks of ``IN_BLOCK`` by length; for each term the index keeps the largest
-share it can add in a block. A passage's sum of these bounds the share of every item in the
-block, so blocks below ``LEAST`` are skipped and the others scored exactly: all items above
-the threshold come back, none is dropped by rank. A hit counts if the passage holds
+The index keeps a posting list a term (items in order of length, with the share the term adds)
+and, for every ``IN_BLOCK`` items of that order, the largest share in each list's block.
+A passage sums the block maxima of its terms' lists; blocks below ``LEAST`` are dead. On the
+others it runs WAND: cursors stand on the lists in item order, the pivot is the first item at
+which the terms' largest shares reach ``LEAST``, cursors before it leap to it, and past dead
+blocks to the next live one; an item on which all of them meet is scored exactly. All items
+above the threshold come back, none is dropped by rank. A hit counts if the passage holds
 ``OVERLAP`` of the item's five-word shingles, and half of those of its question and of its
 answer. A question ends at the last question mark, or after two thirds of the words.
 
-The index is sent to the tasks in blocks of ``PER_INDEX`` items, a bound that does not
-depend on the table: a larger benchmark is a stated query set run block after block.
+An index holds about ``PER_INDEX`` items and is built from those alone; ``PER_PASS`` of them
+are broadcast and asked in one pass over the documents, whose texts are cut into tokens once.
+Both are bounds that do not depend on the table: a benchmark of more items than their
+product (65,536) is a stated query set run pass after pass.
 
 Defined results: null or empty texts and items without tokens match nothing; an item of
 fewer than five words counts as one shingle; equal items all match; repeated rows are
@@ -21,19 +26,24 @@ judged alike; an empty benchmark gives no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagecraft.llm.shipped import Shipped
 from stagecraft.llm.words import batched
+from stagecraft.scratch import materialise
 
 K1, B, LEAST, OVERLAP, PART, SHINGLE = 1.2, 0.75, 0.5, 0.8, 0.5, 5
-IN_BLOCK, PER_INDEX, STRIDE = 8, 512, 64
+IN_BLOCK, PER_INDEX, PER_PASS, STRIDE = 4, 512, 128, 64
+AT_ONCE = 256  # passages whose blocks are bounded together
 _TOKEN = re.compile(r"\w+")
 
 
@@ -61,39 +71,108 @@ class Item:
     question: int
 
 
+@dataclass
+class Postings:
+    """Lists end to end, one a term: ``places`` rising, ``shares`` beside them."""
+
+    ends: np.ndarray  # terms + 1 offsets
+    places: np.ndarray
+    shares: np.ndarray
+
+    def of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every entry of the terms' lists: which of the terms, and where it is."""
+        first, size = self.ends[terms], self.ends[terms + 1] - self.ends[terms]
+        whose = np.repeat(np.arange(len(terms)), size)
+        return whose, np.arange(len(whose)) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
 @dataclass
 class Index:
     vocabulary: dict[str, int]
     items: list[Item]
-    bounds: np.ndarray      # terms x blocks: the most a term adds to the share of an item
-    weights: np.ndarray     # items x terms: the share each term adds
+    entries: Postings       # by item
+    blocks: Postings        # by block of items: the most the term adds in it
+    most: np.ndarray        # by term: the most it adds to any item
     stride: int
 
+    @property
+    def weights(self) -> np.ndarray:
+        """The shares as an items x terms matrix, for looking at small indexes."""
+        out = np.zeros((len(self.items), max(1, len(self.vocabulary))))
+        whose, at = self.entries.of(np.arange(len(self.vocabulary)))
+        out[self.entries.places[at], whose] = self.entries.shares[at]
+        return out
+
     def search(self, words: list[str], least: float = LEAST):
         """(item, share, first word of the passage) of every passage and item above ``least``."""
         known = np.fromiter(map(self.vocabulary.get, words, [-1] * len(words)), np.int64, len(words))
-        at = np.flatnonzero(known >= 0)
+        last = max(0, len(words) - 1) // self.stride
+        for first in range(0, last + 1, AT_ONCE):
+            yield from self._search(known, first, min(first + AT_ONCE, last + 1), least)
+
+    def _search(self, known: np.ndarray, first: int, end: int, least: float):
+        """The passages from ``first`` to ``end``: passage k has the words of parts k and k + 1."""
+        part = known[first * self.stride : (end + 1) * self.stride]
+        at = np.flatnonzero(part >= 0)
         if not len(at):
             return
+        term, place = part[at], at // self.stride
         size = len(self.vocabulary)
-        part = at // self.stride
-        keys = np.unique(np.concatenate([
-            part * size + known[at], (part[part > 0] - 1) * size + known[at[part > 0]]]))
+        keys = np.unique(np.concatenate([place * size + term, (place[place > 0] - 1) * size + term[place > 0]]))
+        keys = keys[: np.searchsorted(keys, (end - first) * size)]
         passage, term = keys // size, keys % size
-        starts = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
-        limit = np.add.reduceat(self.bounds[term], starts, axis=0)
-        ends = np.append(starts[1:], len(keys))
-        for row, block in zip(*np.nonzero(limit >= least - 1e-4)):
-            have = term[starts[row] : ends[row]]
-            first = block * IN_BLOCK
-            share = self.weights[first : first + IN_BLOCK, have].sum(axis=1)
-            for i in np.flatnonzero(share >= least - 1e-6):
-                yield (self.items[first + i], float(share[i]),
-                       int(passage[starts[row]]) * self.stride)
-
-    def verified(self, text: str | None, least: float = LEAST, overlap: float = OVERLAP):
+        n_blocks = -(-len(self.items) // IN_BLOCK)
+        whose, entry = self.blocks.of(term)
+        limit = np.bincount(passage[whose] * n_blocks + self.blocks.places[entry],
+                            self.blocks.shares[entry], (end - first) * n_blocks)
+        live = limit.reshape(-1, n_blocks) >= least - 1e-6
+        starts = np.searchsorted(passage, np.arange(end - first + 1))
+        for row in np.flatnonzero(live.any(axis=1)).tolist():
+            for item, share in self._wand(term[starts[row] : starts[row + 1]],
+                                          np.flatnonzero(live[row]).tolist(), least):
+                yield self.items[item], share, (first + row) * self.stride
+
+    def _wand(self, terms: np.ndarray, live: list[int], least: float) -> Iterator[tuple[int, float]]:
+        """Items of live blocks whose share from the terms reaches ``least``, in order."""
+        lists = []
+        for t in terms.tolist():
+            a, b = self.entries.ends[t : t + 2].tolist()
+            places = self.entries.places[a:b].tolist()
+            lists.append([places[0], 0, places, a, float(self.most[t])])  # where the cursor stands first
+
+        def leap(cursors, item):
+            for cursor in cursors:
+                if cursor[0] < item:
+                    cursor[1] = k = bisect_left(cursor[2], item, cursor[1])
+                    cursor[0] = cursor[2][k] if k < len(cursor[2]) else len(self.items)
+
+        while True:
+            lists = sorted((x for x in lists if x[0] < len(self.items)), key=lambda x: x[0])
+            bound, pivot = 0.0, None
+            for k, cursor in enumerate(lists):
+                bound += cursor[4]
+                if bound >= least - 1e-6:
+                    pivot = cursor[0]
+                    break
+            if pivot is None:
+                return
+            block = bisect_left(live, pivot // IN_BLOCK)
+            if block == len(live):
+                return
+            if live[block] != pivot // IN_BLOCK:
+                leap(lists, live[block] * IN_BLOCK)
+            elif lists[0][0] < pivot:
+                leap(lists[:k], pivot)
+            else:
+                on = [x for x in lists if x[0] == pivot]
+                share = float(sum(self.entries.shares[x[3] + x[1]] for x in on))
+                if share >= least - 1e-6:
+                    yield pivot, share
+                leap(on, pivot + 1)
+
+    def verified(self, words: list[str], least: float = LEAST, overlap: float = OVERLAP):
         """{item_id: (share, overlap, question overlap, answer overlap)} of the items in a text."""
-        words, out = tokens(text), {}
+        out = {}
         for item, share, start in self.search(words, least):
             passage = words[start : start + 2 * self.stride]
             found = []
@@ -120,13 +199,20 @@ def build(rows: list[tuple[int, str, list[str], list[int]]], n_items: int, mean:
         own = np.array(list(weight.values()))
         shares.append((ids, own / own.sum()))
         items.append(Item(item_id, words, question_words(text)))
-    weights = np.zeros((len(items), max(1, len(vocabulary))), np.float32)
-    for i, (ids, share) in enumerate(shares):
-        weights[i, ids] = share
-    bounds = np.stack([weights[i : i + IN_BLOCK].max(axis=0)
-                       for i in range(0, len(items), IN_BLOCK)], axis=1)
+    sizes = [len(ids) for ids, _ in shares]
+    term = np.concatenate([ids for ids, _ in shares] or [np.empty(0, np.int64)])
+    item = np.repeat(np.arange(len(items)), sizes)
+    order = np.lexsort((item, term))
+    term, item = term[order], item[order]
+    share = np.concatenate([own for _, own in shares] or [np.empty(0)])[order]
+    every = np.arange(len(vocabulary) + 1)
+    entries = Postings(np.searchsorted(term, every), item, share)
+    cell = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(item // IN_BLOCK, prepend=-1))
+    blocks = Postings(np.searchsorted(term[cell], every), item[cell] // IN_BLOCK,
+                      np.maximum.reduceat(share, cell) if len(cell) else share)
+    most = np.maximum.reduceat(share, entries.ends[:-1]) if len(share) else share
     longest = max((len(i.words) for i in items), default=0)
-    return Index(vocabulary, items, bounds, weights, max(STRIDE, longest))
+    return Index(vocabulary, items, entries, blocks, most, max(STRIDE, longest))
 
 
 def indexes(benchmark: DataFrame, per_index: int = PER_INDEX):
@@ -149,8 +235,8 @@ def indexes(benchmark: DataFrame, per_index: int = PER_INDEX):
     shards = -(-n // per_index)
     keyed = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
     places = keyed.select("shard", "item_id", "text", F.posexplode("words").alias("at", "word"))
-    rows = places.join(df, "word").groupBy("shard", "item_id", "text").agg(
-        F.sort_array(F.collect_list(F.struct("at", "word", "df"))).alias("words"))
+    rows = materialise(places.join(df, "word").groupBy("shard", "item_id", "text").agg(
+        F.sort_array(F.collect_list(F.struct("at", "word", "df"))).alias("words")), "test-items")
     for shard in range(shards):
         got = []
         for row in rows.where(F.col("shard") == shard).toLocalIterator():
@@ -162,6 +248,13 @@ def indexes(benchmark: DataFrame, per_index: int = PER_INDEX):
             yield build(got, n, length)
 
 
+def passes(spark: SparkSession, benchmark: DataFrame) -> Iterator[list[Shipped]]:
+    """The indexes, shipped, as many as one pass over the documents asks."""
+    made = (Shipped(spark, index) for index in indexes(benchmark))
+    while some := list(islice(made, PER_PASS)):
+        yield some
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST,
                  overlap: float = OVERLAP) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, share of the item's own
@@ -171,13 +264,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST,
     text_schema = ("doc_id bigint, item_id bigint, share double, overlap double, "
                    "question_overlap double, answer_overlap double")
     out = docs.sparkSession.createDataFrame([], text_schema)
-    for index in indexes(benchmark):
-        shared = Shipped(docs.sparkSession, index)
-
+    for shared in passes(docs.sparkSession, benchmark):
         def fill(batch, shared=shared):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                for item_id, found in shared.value.verified(text, least, overlap).items():
-                    yield doc_id, item_id, *found
+                words = tokens(text)
+                for index in shared:
+                    for item_id, found in index.value.verified(words, least, overlap).items():
+                        yield doc_id, item_id, *found
 
         out = out.unionAll(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
             batched(schema, fill), text_schema))
@@ -186,13 +279,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST,
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows, all columns kept, in which no test item is found."""
-    for index in indexes(benchmark):
-        shared = Shipped(docs.sparkSession, index)
-
+    for shared in passes(docs.sparkSession, benchmark):
         def run(batches, shared=shared):
             for batch in batches:
-                clean = [not shared.value.verified(t) for t in batch["text"].to_pylist()]
-                yield batch.filter(pa.array(clean))
+                clean = [not any(index.value.verified(words) for index in shared)
+                         for words in map(tokens, batch["text"].to_pylist())]
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
