@@ -356,6 +356,41 @@ def test_block_bounds_lose_no_item():
     assert {x for x in want if x[1] + index.stride < len(text)} <= got <= want
 
 
+@pytest.mark.parametrize("at_once", [1, 3, 256])
+@pytest.mark.parametrize("least", [0.15, 0.3, 0.6, 1.0])
+def test_pivots_find_what_exact_scores_find(at_once, least, monkeypatch):
+    monkeypatch.setattr(bm25_decon, "AT_ONCE", at_once)
+    items = [(i, f"q{i}?", prose(500 + i, 5 + i % 40, 150).split()) for i in range(90)] + [(90, "one", ["w1"])]
+    df = Counter(w for _, _, ws in items for w in set(ws))
+    index = bm25_decon.build([(i, t, w, [df[x] for x in w]) for i, t, w in items], len(items), 25.0)
+    text = prose(600, 500, 300).split() + items[40][2] + prose(601, 211, 300).split() + items[89][2]
+    terms = {t: k for t, k in index.vocabulary.items()}
+    want = {}
+    for start in range(0, len(text), index.stride):
+        have = [terms[t] for t in set(text[start:start + 2 * index.stride]) if t in terms]
+        for item, share in zip(index.items, index.weights[:, have].sum(axis=1)):
+            if share >= least - 1e-6:
+                want[item.item_id, start] = share
+    got = {(item.item_id, start): share for item, share, start in index.search(text, least)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {40, 89} <= {i for i, _ in got}
+    whole = index.entries
+    assert all((np.diff(whole.places[a:b]) > 0).all() for a, b in zip(whole.ends[:-1], whole.ends[1:]))
+
+
+def test_several_indexes_are_asked_in_one_pass(spark, monkeypatch):
+    rows = [(i, prose(700 + i, 30, 900)) for i in range(40)]
+    bench = spark.createDataFrame(rows, "item_id bigint, text string")
+    docs = make(spark, [(i, prose(800 + i, 80, 900) + " " + rows[i][1] + " " + prose(900 + i, 20, 900))
+                        for i in range(0, 40, 3)] + [(99, prose(999, 300, 900)), (100, None)])
+    want = {(i, i) for i in range(0, 40, 3)}
+    for per_index, per_pass in ((512, 128), (7, 128), (7, 2)):
+        monkeypatch.setattr(bm25_decon, "PER_PASS", per_pass)
+        monkeypatch.setattr(bm25_decon.indexes, "__defaults__", (per_index,))
+        assert {(r.doc_id, r.item_id) for r in bm25_decon.contaminated(docs, bench).collect()} == want
+        assert {r.doc_id for r in bm25_decon.drop_contaminated(docs, bench).collect()} == {99, 100}
+
+
 def test_mixture(spark, odd):
     docs = make(spark, [(i, prose(i, 40 + i % 50), "en", None if i % 7 == 0 else "abcd"[i % 4])
                         for i in range(400)])
