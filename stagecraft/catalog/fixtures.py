@@ -88,12 +88,24 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers_from(table(spark, sf_dir, "documents"))
 
 
-def arrive(documents: DataFrame, part: int, inbox: str, parts: int = 4) -> None:
-    """Put one of ``parts`` ranges of doc_id into ``inbox``, as the file of one arrival."""
+def arrival_files(documents: DataFrame, parts: int = 4) -> int:
+    """Files of one of ``parts`` arrivals: as many as tasks that read that share of the table."""
+    return -(-documents.rdd.getNumPartitions() // parts)
+
+
+def arrive(documents: DataFrame, part: int, inbox: str, parts: int = 4, files: int = 1) -> None:
+    """Put one of ``parts`` ranges of doc_id into ``inbox``, as the ``files`` files of one
+    arrival. Arrivals come in turn, and each has exactly that many files, so that a stream can
+    take them one by one; pieces without rows are files all the same."""
     low, high = (documents.agg(f("doc_id")).first()[0] or 0 for f in (F.min, F.max))
     step = (high - low) // parts + 1
     slot = F.floor((F.col("doc_id") - low) / step)
-    documents.where(slot == part).coalesce(1).write.mode("append").parquet(inbox)
+    rows = documents.where(slot == part)
+    rows = rows.coalesce(1) if files == 1 else rows.repartition(files)
+    rows.write.mode("append").parquet(inbox)
+    written = len(documents.sparkSession.read.schema(documents.schema).parquet(inbox).inputFiles())
+    for _ in range(written, (part + 1) * files):
+        documents.limit(0).write.mode("append").parquet(inbox)
 
 
 _bases: dict[tuple[str, str], str] = {}

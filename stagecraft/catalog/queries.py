@@ -133,14 +133,15 @@ def ingest_stream(spark, sf_dir):
 
 @query
 def ingest_in_batches(spark, sf_dir):
-    """Four files, one for each micro-batch: two are ingested, then the query is restarted
+    """Four arrivals, one for each micro-batch: two are ingested, then the query is restarted
     from its checkpoint for two more. ``batch_id`` is the micro-batch that wrote the row."""
     out, state, inbox = (scratch_dir(spark, n) for n in ("stream", "state", "inbox"))
     documents = fx.table(spark, sf_dir, "documents")
+    files = fx.arrival_files(documents)
     for parts in ((0, 1), (2, 3)):
         for part in parts:
-            fx.arrive(documents, part, inbox)
-        arrived = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+            fx.arrive(documents, part, inbox, files=files)
+        arrived = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", files).parquet(inbox)
         ingest.ingest_stream(fx.papers_from(arrived), out, state, fx.CAPPED).awaitTermination()
     return ingest.read_ingested(spark, out, with_batch=True)
 

@@ -131,3 +131,28 @@ def test_scan_reads_configured_columns_only(spark, tmp_path):
 
 def test_scratch_follows_the_named_folder(spark):
     assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_an_arrival_is_dealt_to_many_files_and_still_one_batch(spark, tmp_path, conf):
+    """Each arrival is written by several tasks, even where pieces have no rows, and is taken whole."""
+    conf("spark.sql.files.maxPartitionBytes", "64k")
+    source, inbox = str(tmp_path / "documents"), str(tmp_path / "inbox")
+    rows = spark.range(60).selectExpr("id * id AS doc_id", "'s' AS source", "1L AS n_chars", "repeat(md5(string(id)), 2000) AS text")
+    rows.repartition(12).write.parquet(source)
+    documents = spark.read.parquet(source)
+    files = fixtures.arrival_files(documents)
+    assert files > 1
+    for part in range(4):
+        fixtures.arrive(documents.where("doc_id < 2000 OR doc_id > 3000"), part, inbox, files=files)
+        assert len(spark.read.parquet(inbox).inputFiles()) == (part + 1) * files
+    found = []
+
+    def note(batch, batch_id):
+        found.extend((batch_id, r["doc_id"]) for r in batch.select("doc_id").collect())
+
+    (spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", files).parquet(inbox).writeStream
+     .foreachBatch(note).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+     .start().awaitTermination())
+    want = [k * k for k in range(60) if not 2000 <= k * k <= 3000]
+    step = want[-1] // 4 + 1
+    assert sorted(found) == sorted((d // step, d) for d in want)
