@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stagecraft.config import Options
 from stagecraft.functions.text import tokens
 from stagecraft.functions.vectors import Encoder, dot, encode, predict_stage
+from stagecraft.scratch import materialise
 
 # Okapi BM25 constants.
 K1 = 1.5
@@ -15,6 +16,8 @@ B = 0.75
 EPSILON = 0.25
 
 _CONTEXT_POS = -1
+# Tokens whose rows one task counts and sorts; the tasks grow with the texts.
+TOKENS_PER_TASK = 500_000
 
 
 def bm25_scores(pools: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -23,14 +26,17 @@ def bm25_scores(pools: DataFrame, contexts: DataFrame) -> DataFrame:
     The context travels as one more document of its pool, so everything, including the
     query term counts, is computed behind a single exchange on ``pool_id``. A negative idf
     becomes EPSILON times the mean idf of the pool's vocabulary.
+
+    A token becomes a row many times its size in the exchange, so the exchange is cut by the
+    number of tokens and not by its bytes: the documents are written once and counted.
     """
     documents = pools.select("pool_id", "pos", "is_true", "text").unionByName(
         contexts.select("pool_id", F.lit(_CONTEXT_POS).alias("pos"),
                         F.lit(False).alias("is_true"), F.col("ctx").alias("text")))
     is_candidate = F.col("pos") != _CONTEXT_POS
     pool = Window.partitionBy("pool_id")
-    words = documents.select(
-        "pool_id", "pos", "is_true", tokens(F.lower("text")).alias("_words"))
+    words = _dealt(documents.select(
+        "pool_id", "pos", "is_true", tokens(F.lower("text")).alias("_words")))
     measured = words.withColumn("_len", F.size("_words")).withColumns({
         "_docs": F.sum(is_candidate.cast("int")).over(pool),
         "_avg_len": F.avg(F.when(is_candidate, F.col("_len"))).over(pool)})
@@ -57,6 +63,14 @@ def bm25_scores(pools: DataFrame, contexts: DataFrame) -> DataFrame:
         F.sum(gain).alias("score"))
 
 
+def _dealt(words: DataFrame) -> DataFrame:
+    """Whole pools dealt to tasks of about TOKENS_PER_TASK tokens."""
+    words = materialise(words, "words")
+    total = words.agg(F.coalesce(F.sum(F.greatest(F.size("_words"), F.lit(0))), F.lit(0))).first()[0]
+    cores = words.sparkSession.sparkContext.defaultParallelism
+    return words.repartition(max(cores, -(-total // TOKENS_PER_TASK)), "pool_id")
+
+
 def dense_scores(pools: DataFrame, contexts: DataFrame, opts: Options, *,
                  encoder: Encoder | None = None) -> DataFrame:
     """Cosine of the vector predicted from the context with each candidate's vector."""

@@ -115,3 +115,21 @@ def test_dense_scores_with_a_custom_encoder(spark):
     scored = retrieval.dense_scores(pools.build_pools(df, 3, 0), pools.contexts(df), Options(),
                                     encoder=lengths)
     assert all(0.99 < r["score"] <= 1.0000001 for r in scored.collect())
+
+
+def test_bm25_tasks_grow_with_the_texts(spark, monkeypatch):
+    """The exchange is cut by the tokens met, whatever spark.sql.shuffle.partitions is."""
+    monkeypatch.setattr(retrieval, "TOKENS_PER_TASK", 100)
+    want = None
+    for repeats in (1, 10):
+        frame = spark.createDataFrame(
+            [(str(p), k, k == 0, f"a b{p} c{k} " * 25 * repeats) for p in range(10) for k in range(4)],
+            "pool_id string, pos int, is_true boolean, text string")
+        ctx = spark.createDataFrame([(str(p), "c0 c0 a") for p in range(10)], "pool_id string, ctx string")
+        scored = retrieval.bm25_scores(frame, ctx)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        tasks = -(-(40 * 75 * repeats + 30) // 100)
+        assert "Exchange hashpartitioning(pool_id#" in plan and f", {tasks}), REPARTITION_BY_NUM" in plan
+        ranks = sorted((r.pool_id, r.pos, r.rank) for r in retrieval.rank_candidates(scored).collect())
+        want = want or ranks
+        assert ranks == want and len(ranks) == 40
