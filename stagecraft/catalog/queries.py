@@ -404,7 +404,7 @@ def _nll(spark, sf_dir):
 
 @query
 def bigram_model(spark, sf_dir):
-    return lm.fit_bigram(trains(spark, sf_dir)).pairs.select("v", "w", "n")
+    return lm.fit_bigram(trains(spark, sf_dir)).counts.select("v", "w", "n")
 
 
 @query

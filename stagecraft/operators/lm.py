@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,18 +11,30 @@ from pyspark.sql import functions as F
 from stagecraft.config import Options
 from stagecraft.functions.text import full_text, tokens
 from stagecraft.operators.skew import lookup_counted
-from stagecraft.scratch import materialise, materialise_buckets
+from stagecraft.scratch import grouped_buckets, materialise, materialise_buckets
 
 
 @dataclass(frozen=True)
 class BigramModel:
-    """``pairs``: v, w, n, first_n (n of all pairs with the same v), in buckets of (v, w).
-    ``firsts``: v, n (as first of a pair).  ``vocabulary``: token."""
+    """``counts``: v, w, n, in buckets of (v, w).  ``firsts``: v, n (as first of a pair),
+    pairs (distinct ones).  ``vocabulary``: token.  ``pairs``: see there."""
 
-    pairs: DataFrame
+    counts: DataFrame
     firsts: DataFrame
     vocabulary: DataFrame
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """v, w, n, first_n (n of all pairs with the same v), in buckets of (v, w): a known
+        pair is one row to read. Made when first asked for."""
+        firsts = self.firsts.select("v", F.col("pairs").alias("n"), F.col("n").alias("first_n"))
+        return materialise_buckets(lookup_counted(self.counts, firsts, ["v"], stored=True), "pairs", ["v", "w"])
+
+    @cached_property
+    def size(self) -> int:
+        """Distinct tokens and one for all unknown ones."""
+        return self.vocabulary.count() + 1
+
 
 def _adjacent(words: str) -> Column:
     # Pair each token with its successor inside the row; no window or shuffle is needed.
@@ -40,31 +53,33 @@ def bigrams(chains: DataFrame) -> DataFrame:
 def fit_bigram(train: DataFrame) -> BigramModel:
     """Count tokens and adjacent pairs; every count is combined on the map side.
 
-    The model is written once, in buckets of (v, w): a join on the pair moves only the other
-    side. Each pair carries the count of its first word, so a known pair is one row to read.
+    The counts are written once, in buckets of (v, w), as they come out of the grouping: a
+    join on the pair moves only the other side. The first words are counted from those.
     """
-    counts = materialise(bigrams(train).groupBy("v", "w").agg(F.count("*").alias("n")), "counts")
-    # Per first word: its pairs (the rows a lookup meets) and the tokens they stand for.
-    firsts = counts.groupBy("v").agg(F.count("*").alias("n"), F.sum("n").alias("first_n"))
-    pairs = materialise_buckets(lookup_counted(counts, firsts, ["v"]), "pairs", ["v", "w"])
-    # A chain has at least six tokens, so every token is part of some pair.
-    words = pairs.select(F.explode(F.array("v", "w")).alias("token"))
-    return BigramModel(pairs, pairs.groupBy("v").agg(F.sum("n").alias("n")), words.distinct())
+    counts = grouped_buckets(bigrams(train).groupBy("v", "w").agg(F.count("*").alias("n")), "counts", ["v", "w"])
+    firsts = materialise(counts.groupBy("v").agg(
+        F.sum("n").alias("n"), F.count("*").alias("pairs")), "firsts")
+    # Every token but the last of its document is the first word of some pair.
+    words = tokens(full_text())
+    last = train.select(F.element_at(words, F.size(words)).alias("token")).distinct()
+    return BigramModel(counts, firsts, firsts.select(F.col("v").alias("token")).unionAll(last).distinct())
 
 
 def _nll(model: BigramModel, opts: Options, pair_n: Column, first_n: Column) -> Column:
-    alpha = opts.smoothing
-    vocabulary = model.vocabulary.select(F.count("*") + 1).scalar()
-    return -F.log((pair_n + alpha) / (first_n + alpha * vocabulary))
+    return -F.log((pair_n + opts.smoothing) / (first_n + opts.smoothing * model.size))
+
+
+def _known(model: BigramModel, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (grouped by v, w) with ``pair_n``, null where the model has none."""
+    return wanted.join(model.counts.select("v", "w", F.col("n").alias("pair_n")).hint("merge"), ["v", "w"], "left")
 
 
 def _losses(model: BigramModel, wanted: DataFrame, opts: Options) -> DataFrame:
-    """The rows of ``wanted`` (distinct v, w) with their ``nll``."""
-    known = model.pairs.select("v", "w", F.col("n").alias("pair_n"))
-    firsts = wanted.groupBy("v").agg(F.count("*").alias("n")).join(
-        model.firsts.withColumnRenamed("n", "first_n"), "v", "left")
-    counted = lookup_counted(wanted.join(known, ["v", "w"], "left"), firsts, ["v"])
-    return counted.select(*wanted.columns, _nll(
+    """The rows of ``wanted`` (grouped by v, w) with their ``nll``."""
+    known = materialise(_known(model, wanted), "known")
+    firsts = known.groupBy("v").agg(F.count("*").alias("n")).join(
+        model.firsts.select("v", F.col("n").alias("first_n")), "v", "left")
+    return lookup_counted(known, firsts, ["v"]).select(*wanted.columns, _nll(
         model, opts, F.coalesce("pair_n", F.lit(0)), F.coalesce("first_n", F.lit(0))).alias("nll"))
 
 
@@ -73,17 +88,24 @@ def corpus_perplexity(model: BigramModel, test: DataFrame, opts: Options) -> Dat
 
     A pair weighs the sum of its shares of the documents it stands in, combined on the map
     side, so losses meet distinct pairs only and no token crosses the network with its
-    document.
+    document. A pair's loss is a part of its first word less a part of its own, so the first
+    parts are weighed for each distinct first word and never brought to the pairs.
     """
     words = test.select(tokens(full_text()).alias("_words")).where(F.size("_words") > 1)
     share = 1.0 / (F.size("_words") - 1)
     seen = words.select(share.alias("_share"), F.inline(_adjacent("_words"))).toDF("_share", "v", "w")
-    wanted = materialise(seen.groupBy("v", "w").agg(F.sum("_share").alias("_weight")), "wanted")
+    wanted = seen.groupBy("v", "w").agg(F.sum("_share").alias("_weight"))
+    known = materialise(_known(model, wanted), "known")
+    own = known.agg(
+        F.sum(F.col("_weight") * F.log(F.coalesce("pair_n", F.lit(0)) + opts.smoothing)).alias("_own"),
+        F.sum("_weight").alias("_docs"))
+    firsts = known.groupBy("v").agg(F.sum("_weight").alias("_weight")).join(
+        model.firsts.select("v", F.col("n").alias("first_n")), "v", "left").agg(F.sum(
+            F.col("_weight") * F.log(F.coalesce("first_n", F.lit(0)) + opts.smoothing * model.size)).alias("_first"))
     # The weights of a document's pairs sum to one, so all weights sum to the documents.
-    both = _losses(model, wanted, opts).agg(
-        F.sum(F.col("_weight") * F.col("nll")).alias("_sum"), F.sum("_weight").alias("_docs"))
-    return both.select(F.coalesce(F.try_divide("_sum", "_docs"), F.lit(0.0)).alias("avg_nll")
-                       ).select(F.exp("avg_nll").alias("perplexity"), "avg_nll")
+    mean = F.try_divide(F.col("_first") - F.col("_own"), F.col("_docs"))
+    return own.crossJoin(firsts).select(F.coalesce(mean, F.lit(0.0)).alias("avg_nll")
+                                        ).select(F.exp("avg_nll").alias("perplexity"), "avg_nll")
 
 
 def score_bigram(model: BigramModel, test: DataFrame, opts: Options) -> DataFrame:
@@ -93,7 +115,7 @@ def score_bigram(model: BigramModel, test: DataFrame, opts: Options) -> DataFram
     frequent pairs are kept out of the shuffled joins (see lookup_counted).
     """
     seen = bigrams(test)
-    wanted = materialise(seen.groupBy("v", "w").agg(F.count("*").alias("n")), "wanted")
+    wanted = seen.groupBy("v", "w").agg(F.count("*").alias("n"))
     losses = materialise_buckets(_losses(model, wanted, opts), "losses", ["v", "w"])
     return _document_means(seen, losses)
 

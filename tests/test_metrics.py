@@ -273,3 +273,31 @@ def test_cold_pairs_meet_the_models_buckets_without_an_exchange_of_the_model(spa
     monkeypatch.undo()
     want = {r.seq: r.nll for r in lm.score_fitted(model, chains, Options()).collect()}
     assert {r.seq: round(r.nll, 9) for r in scored.collect()} == {s: round(n, 9) for s, n in want.items()}
+
+
+def test_the_bigram_model_is_counted_with_two_exchanges(spark, monkeypatch):
+    """Perplexity and losses need no first_n on the pairs; they agree with a count by hand when
+    every lookup is joined, last words and unknown ones included."""
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    stages = ("title", "hypothesis", "method", "experiment", "result", "conclusion")
+    schema = "seq bigint, " + ", ".join(f"{s} string" for s in stages)
+    train = spark.createDataFrame([(i, *["a"] * 5, f"a b w{i % 3} end{i}") for i in range(20)], schema)
+    test = spark.createDataFrame([(i, *["a"] * 5, f"new b w{i} end1 end{i} x") for i in range(5)]
+                                 + [(9, *[""] * 6), (10, *[""] * 5, "one")], schema)
+    asked = []
+    monkeypatch.setattr(lm, "lookup_counted", lambda *a, **k: asked.append(a) or skew.lookup_counted(*a, **k))
+    model = lm.fit_bigram(train)
+    got = lm.corpus_perplexity(model, test, Options()).first()
+    assert not asked  # the counts alone answer
+    words = [["a"] * 5 + f"a b w{i % 3} end{i}".split() for i in range(20)]
+    pairs, firsts = Counter(p for w in words for p in zip(w, w[1:])), Counter(v for w in words for v in w[:-1])
+    size = len({t for w in words for t in w}) + 1
+    assert model.size == size and model.vocabulary.count() == size - 1
+    assert {(r.v, r.w): r.n for r in model.counts.collect()} == dict(pairs)
+
+    def loss(w):
+        return np.mean([-math.log((pairs[p] + 1) / (firsts[p[0]] + size)) for p in zip(w, w[1:])])
+
+    want = {i: loss(["a"] * 5 + f"new b w{i} end1 end{i} x".split()) for i in range(5)}
+    assert got["avg_nll"] == pytest.approx(np.mean(list(want.values())), rel=1e-12)
+    assert {r.seq: r.nll for r in lm.score_bigram(model, test, Options()).collect()} == pytest.approx(want, rel=1e-12)
