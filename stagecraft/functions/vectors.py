@@ -42,30 +42,43 @@ def l2_normalise(col) -> Column:
 
 
 def encode(df: DataFrame, text: str, out: str, opts: Options, *,
-           limit: int | None = None, encoder: Encoder | None = None) -> DataFrame:
-    """Add a unit vector of a text column.
+           limit: int | None = None, encoder: Encoder | None = None,
+           counted: bool = False) -> DataFrame:
+    """Add a unit vector of a text column, or of its hashed_counts if it is ``counted``.
 
     ``encoder`` may be any Column -> array<double> function, e.g. a pandas UDF or
     ``pyspark.ml.functions.predict_batch_udf``. The default hashes the
     lower-case tokens (the first ``limit``, if one is given) into signed buckets.
     """
+    if counted:
+        return with_once(df, l2_normalise(text).alias(out))
     if encoder is not None:
         return _encoded(df, F.col(text), out, encoder)
     return _hashed(df, text, out, opts.encoder_dim, limit)
 
 
 def predict_stage(df: DataFrame, context: str, out: str, opts: Options, *,
-                  encoder: Encoder | None = None) -> DataFrame:
+                  encoder: Encoder | None = None, counted: bool = False) -> DataFrame:
     """Add the predicted vector of the next stage from its context.
 
     A learned ``encoder`` reads the marked prompt; the default one hashes the plain
-    context, because it has no use for marker tokens.
+    context (or takes its hashed_counts), because it has no use for marker tokens.
     """
+    if counted:
+        return encode(df, context, out, opts, counted=True)
     if encoder is not None:
         return _encoded(df, prediction_prompt(F.col(context), opts), out, encoder)
     return _hashed(df, context, out, opts.encoder_dim, None)
 
 
+def hashed_counts(text, opts: Options) -> Column:
+    """What the default encoder scales to unit length. Counts of texts joined by white space
+    are the sums of their counts, so a text that stands in several is hashed once."""
+    text = F.col(text) if isinstance(text, str) else text
+    counts = _once(token_weights(tokens(F.lower(text)), opts.encoder_dim), lambda w: dense(w, opts.encoder_dim))
+    return F.when(text.isNotNull(), counts)
+
+
 def _encoded(df: DataFrame, text: Column, out: str, encoder: Encoder) -> DataFrame:
     # A column of its own below the generator: a Python function may not stand inside a lambda.
     return with_once(df.withColumn("_raw", encoder(text)), l2_normalise("_raw").alias(out)).drop("_raw")
@@ -77,8 +90,7 @@ def token_weights(words: Column, dim: int) -> Column:
     Each token is one code, bucket and sign. The codes are sorted and every run of a bucket
     becomes one entry, so the work follows the tokens and not the dimension.
     """
-    def code(token):
-        h = F.md5(token)
+    def code(h):
         bucket = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim
         return (bucket * 2 + (F.substring(h, 9, 1) < "8").cast("bigint")).cast("int")
 
@@ -95,7 +107,8 @@ def token_weights(words: Column, dim: int) -> Column:
                             lambda total, c: total + 2 * (c % 2) - 1)
         return F.struct(F.shiftright(F.get(codes, end), 1).alias("bucket"), signs.cast("double").alias("weight"))
 
-    counted = _once(F.sort_array(F.transform(words, code)), runs)
+    hashes = F.transform(words, lambda token: F.md5(token))  # bound, so computed once a token
+    counted = _once(F.sort_array(F.transform(hashes, code)), runs)
     return F.filter(counted, lambda e: e["weight"] != 0)
 
 

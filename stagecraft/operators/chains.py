@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +12,7 @@ from pyspark.sql import types as T
 from stagecraft.config import CHAIN_EDGES, LONG_RANGE_EDGE, STAGES, Options
 from stagecraft.functions.hashing import digest, draw
 from stagecraft.functions.text import full_text, prefix_context, strip, year_digits
+from stagecraft.functions.vectors import hashed_counts, with_once
 
 CHAIN_COLUMNS = (*STAGES, "id", "year", "citations", "field", "seq")
 _FRACTIONS = (T.FloatType, T.DoubleType)
@@ -119,19 +123,39 @@ def edges_for(opts: Options) -> tuple:
                  if opts.use_long_range_edge or tuple(e) != LONG_RANGE_EDGE)
 
 
-def edge_pairs(chains: DataFrame, edges: tuple = CHAIN_EDGES) -> DataFrame:
+def edge_pairs(chains: DataFrame, edges: tuple = CHAIN_EDGES,
+               context: Callable[[int], Column] = prefix_context) -> DataFrame:
     """Each chain times each edge (i, j): stages 0..i as context, stage j as target.
 
-    The static edge list is exploded from a literal, so no join is needed.
+    The static edge list is exploded from a literal, so no join is needed. ``context`` joins
+    the stages where their columns hold something else than text (see counted_stages).
     """
     pairs = F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                 prefix_context(i).alias("context"), F.col(STAGES[j]).alias("target"))
+                 context(i).alias("context"), F.col(STAGES[j]).alias("target"))
         for i, j in edges])
     kept = [c for c in chains.columns if c not in STAGES]
     return chains.select(*kept, F.inline(pairs))
 
 
+def counted_stages(chains: DataFrame, opts: Options) -> DataFrame:
+    """The chains with each stage's hashed_counts in place of its text."""
+    counted = with_once(chains, *[hashed_counts(s, opts).alias(f"_{s}") for s in STAGES])
+    return counted.select(*[c for c in chains.columns if c not in STAGES],
+                          *[F.col(f"_{s}").alias(s) for s in STAGES])
+
+
+def prefix_counts(opts: Options) -> Callable[[int], Column]:
+    """prefix_context of counted_stages: the sums of the counts; a null stage adds nothing."""
+    zeros = F.array_repeat(F.lit(0.0), opts.encoder_dim)
+
+    def context(last_stage: int) -> Column:
+        first, *others = [F.coalesce(F.col(s), zeros) for s in STAGES[: last_stage + 1]]
+        return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), others, first)
+
+    return context
+
+
 def filter_edges(pairs: DataFrame, opts: Options) -> DataFrame:
     if opts.use_long_range_edge:
         return pairs

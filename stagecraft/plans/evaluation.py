@@ -11,7 +11,7 @@ from stagecraft.functions.vectors import Encoder, encode, predict_stage, with_on
 from stagecraft.operators import association, health, labels, lm, losses, pools, retrieval
 from stagecraft.operators.caps import head_n
 from stagecraft.operators.chains import (
-    edge_dropout, edge_pairs, edges_for, with_context,
+    counted_stages, edge_dropout, edge_pairs, edges_for, prefix_counts, with_context,
 )
 from stagecraft.operators.ordering import assign_batches, block_shuffle
 from stagecraft.scratch import materialise
@@ -93,7 +93,7 @@ def training_losses(train: DataFrame, opts: Options, *,
                     encoder: Encoder | None = None) -> DataFrame:
     """``batch_id, nll, loss``: one epoch's batch losses under the given options.
 
-    Edges are dropped before anything is encoded, so a dropped edge costs nothing.
+    Edges are dropped before they are encoded (see batch_edge_losses).
     """
     ordered = block_shuffle(train.select("seq", "id", "split"), opts.shuffle_buffer, opts.seed)
     batches = materialise(
@@ -111,8 +111,17 @@ def training_losses(train: DataFrame, opts: Options, *,
 
 def batch_edge_losses(batched: DataFrame, opts: Options, *,
                       encoder: Encoder | None = None) -> DataFrame:
-    pairs = edge_pairs(batched, edges_for(opts))
+    """Losses of each (batch, edge) left after dropout.
+
+    The default encoder's counts add up, so each stage is hashed once, however many contexts
+    and targets it is part of. A learned encoder reads the texts of the edges kept.
+    """
+    counted = encoder is None
+    if counted:
+        pairs = edge_pairs(counted_stages(batched, opts), edges_for(opts), prefix_counts(opts))
+    else:
+        pairs = edge_pairs(batched, edges_for(opts))
     kept = edge_dropout(pairs, opts.loss_dropout, opts.seed)
-    predicted = predict_stage(kept, "context", "pred", opts, encoder=encoder)
-    encoded = encode(predicted, "target", "true", opts, encoder=encoder)
+    predicted = predict_stage(kept, "context", "pred", opts, encoder=encoder, counted=counted)
+    encoded = encode(predicted, "target", "true", opts, encoder=encoder, counted=counted)
     return losses.edge_loss(encoded, opts.edge_loss_type)

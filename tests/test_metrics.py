@@ -301,3 +301,30 @@ def test_the_bigram_model_is_counted_with_two_exchanges(spark, monkeypatch):
     want = {i: loss(["a"] * 5 + f"new b w{i} end1 end{i} x".split()) for i in range(5)}
     assert got["avg_nll"] == pytest.approx(np.mean(list(want.values())), rel=1e-12)
     assert {r.seq: r.nll for r in lm.score_bigram(model, test, Options()).collect()} == pytest.approx(want, rel=1e-12)
+
+
+def test_edge_losses_hash_each_stage_once(spark):
+    """Contexts are sums of their stages' counts; vectors and losses are those of the texts."""
+    from stagecraft.config import CHAIN_EDGES
+    from stagecraft.functions.vectors import encode, predict_stage
+    from stagecraft.operators import chains as chain_ops
+    from stagecraft.plans import evaluation
+
+    stages = ("title", "hypothesis", "method", "experiment", "result", "conclusion")
+    rows = [(i, i // 4, *[f"{s} word{i % 5} Word{k} ΣΣ w{i * k} x" for k, s in enumerate(stages)]) for i in range(40)]
+    rows += [(90, 9, None, "", "a a b", " ", None, "a"), (91, 9, *[None] * 6)]
+    df = spark.createDataFrame(rows, "seq bigint, batch_id bigint, " + ", ".join(f"{s} string" for s in stages))
+    opts = Options()
+    texts = chain_ops.edge_pairs(df)
+    old = encode(predict_stage(texts, "context", "pred", opts), "target", "true", opts)
+    new = chain_ops.edge_pairs(chain_ops.counted_stages(df, opts), CHAIN_EDGES, chain_ops.prefix_counts(opts))
+    new = encode(predict_stage(new, "context", "pred", opts, counted=True), "target", "true", opts, counted=True)
+
+    def vectors(pairs):
+        return {(r.seq, r.i, r.j): (r.pred, r.true) for r in pairs.collect()}
+
+    assert vectors(new) == vectors(old) and len(vectors(new)) == 42 * 6
+    losses_ = evaluation.batch_edge_losses(df, opts.but(loss_dropout=0.0))
+    plan = losses_._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("md5(") <= len(stages) + 1  # one more for the dropout's draw
+    assert losses_.count() == 6 * 10
