@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from stagecraft.config import Options
 from stagecraft.functions.text import full_text, tokens
 from stagecraft.operators.skew import lookup_counted
-from stagecraft.scratch import grouped_buckets, materialise, materialise_buckets
+from stagecraft.scratch import grouped_buckets, materialise, materialise_buckets, splits_up_to
+
+# A task keeps the distinct pairs of the files it reads until all are counted: so many bytes of them.
+SPLIT_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -56,9 +59,10 @@ def fit_bigram(train: DataFrame) -> BigramModel:
     The counts are written once, in buckets of (v, w), as they come out of the grouping: a
     join on the pair moves only the other side. The first words are counted from those.
     """
-    counts = grouped_buckets(bigrams(train).groupBy("v", "w").agg(F.count("*").alias("n")), "counts", ["v", "w"])
-    firsts = materialise(counts.groupBy("v").agg(
-        F.sum("n").alias("n"), F.count("*").alias("pairs")), "firsts")
+    with splits_up_to(train.sparkSession, SPLIT_BYTES):
+        counts = grouped_buckets(bigrams(train).groupBy("v", "w").agg(F.count("*").alias("n")), "counts", ["v", "w"])
+        firsts = materialise(counts.groupBy("v").agg(
+            F.sum("n").alias("n"), F.count("*").alias("pairs")), "firsts")
     # Every token but the last of its document is the first word of some pair.
     words = tokens(full_text())
     last = train.select(F.element_at(words, F.size(words)).alias("token")).distinct()
@@ -70,13 +74,15 @@ def _nll(model: BigramModel, opts: Options, pair_n: Column, first_n: Column) ->
 
 
 def _known(model: BigramModel, wanted: DataFrame) -> DataFrame:
-    """The rows of ``wanted`` (grouped by v, w) with ``pair_n``, null where the model has none."""
-    return wanted.join(model.counts.select("v", "w", F.col("n").alias("pair_n")).hint("merge"), ["v", "w"], "left")
+    """The rows of ``wanted`` (grouped by v, w) with ``pair_n``, null where the model has none; written."""
+    known = wanted.join(model.counts.select("v", "w", F.col("n").alias("pair_n")).hint("merge"), ["v", "w"], "left")
+    with splits_up_to(wanted.sparkSession, SPLIT_BYTES):
+        return materialise(known, "known")
 
 
 def _losses(model: BigramModel, wanted: DataFrame, opts: Options) -> DataFrame:
     """The rows of ``wanted`` (grouped by v, w) with their ``nll``."""
-    known = materialise(_known(model, wanted), "known")
+    known = _known(model, wanted)
     firsts = known.groupBy("v").agg(F.count("*").alias("n")).join(
         model.firsts.select("v", F.col("n").alias("first_n")), "v", "left")
     return lookup_counted(known, firsts, ["v"]).select(*wanted.columns, _nll(
@@ -95,7 +101,7 @@ def corpus_perplexity(model: BigramModel, test: DataFrame, opts: Options) -> Dat
     share = 1.0 / (F.size("_words") - 1)
     seen = words.select(share.alias("_share"), F.inline(_adjacent("_words"))).toDF("_share", "v", "w")
     wanted = seen.groupBy("v", "w").agg(F.sum("_share").alias("_weight"))
-    known = materialise(_known(model, wanted), "known")
+    known = _known(model, wanted)
     own = known.agg(
         F.sum(F.col("_weight") * F.log(F.coalesce("pair_n", F.lit(0)) + opts.smoothing)).alias("_own"),
         F.sum("_weight").alias("_docs"))

@@ -328,3 +328,40 @@ def test_edge_losses_hash_each_stage_once(spark):
     plan = losses_._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("md5(") <= len(stages) + 1  # one more for the dropout's draw
     assert losses_.count() == 6 * 10
+
+
+@pytest.mark.parametrize("own, tasks", [("128m", 4), ("10k", 8)])
+def test_pairs_are_counted_in_splits_of_bounded_size(spark, conf, monkeypatch, tmp_path, own, tasks):
+    """The table of distinct pairs that a task holds does not grow with the session's splits; a
+    smaller limit of the session holds, and its own value is back afterwards."""
+    stages = ("title", "hypothesis", "method", "experiment", "result", "conclusion")
+    schema = "seq bigint, " + ", ".join(f"{s} string" for s in stages)
+    texts = [" ".join(f"w{(i * 31 + k * k) % 977}" for k in range(200)) for i in range(400)]
+    rows = spark.createDataFrame([(i, *["a"] * 5, t) for i, t in enumerate(texts)], schema)
+    rows.repartition(8).write.option("compression", "none").parquet(str(tmp_path / "chains"))
+    size = sum(f.stat().st_size for f in (tmp_path / "chains").glob("*.parquet"))
+    conf("spark.sql.files.minPartitionNum", "1")
+    conf("spark.sql.files.openCostInBytes", "0")
+    conf("spark.sql.files.maxPartitionBytes", own)
+    monkeypatch.setattr(lm, "SPLIT_BYTES", size // 4, raising=False)
+    chains = spark.read.schema(schema).parquet(str(tmp_path / "chains"))
+
+    def widest(group, job):
+        """The most tasks of a stage of the jobs run meanwhile."""
+        sc = spark.sparkContext
+        sc.setJobGroup(group, "counting")
+        done, tracker = job(), sc.statusTracker()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        first = min(tracker.getJobIdsForGroup(group))
+        return done, tracker.getStageInfo(min(tracker.getJobInfo(first).stageIds)).numTasks
+
+    model, fitted = widest(f"fit-{own}", lambda: lm.fit_bigram(chains))
+    scored, met = widest(f"score-{own}", lambda: lm.corpus_perplexity(model, chains, Options()))
+    assert fitted >= tasks and met >= tasks
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == own
+    words = [["a"] * 5 + t.split() for t in texts]
+    pairs = Counter(p for w in words for p in zip(w, w[1:]))
+    firsts, size = Counter(v for w in words for v in w[:-1]), len({t for w in words for t in w}) + 1
+    assert {(r.v, r.w): r.n for r in model.counts.collect()} == dict(pairs)
+    want = np.mean([np.mean([-math.log((pairs[p] + 1) / (firsts[p[0]] + size)) for p in zip(w, w[1:])]) for w in words])
+    assert scored.first()["avg_nll"] == pytest.approx(want, rel=1e-9)
