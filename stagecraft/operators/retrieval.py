@@ -27,21 +27,22 @@ def bm25_scores(pools: DataFrame, contexts: DataFrame) -> DataFrame:
     query term counts, is computed behind a single exchange on ``pool_id``. A negative idf
     becomes EPSILON times the mean idf of the pool's vocabulary.
 
-    A token becomes a row many times its size in the exchange, so the exchange is cut by the
-    number of tokens and not by its bytes: the documents are written once and counted.
+    A token becomes a row many times its size behind the exchange, so the exchange is cut by
+    the number of tokens and not by its bytes: the documents are written once and counted.
+    Texts cross it and are cut into tokens behind it: a task keeps all it sends, and an array
+    of tokens takes more than twice the bytes of its text.
     """
     documents = pools.select("pool_id", "pos", "is_true", "text").unionByName(
         contexts.select("pool_id", F.lit(_CONTEXT_POS).alias("pos"),
                         F.lit(False).alias("is_true"), F.col("ctx").alias("text")))
     is_candidate = F.col("pos") != _CONTEXT_POS
     pool = Window.partitionBy("pool_id")
-    words = _dealt(documents.select(
-        "pool_id", "pos", "is_true", tokens(F.lower("text")).alias("_words")))
-    measured = words.withColumn("_len", F.size("_words")).withColumns({
+    texts = _dealt(documents.withColumn("_len", F.size(tokens(F.lower("text")))))
+    measured = texts.withColumns({
         "_docs": F.sum(is_candidate.cast("int")).over(pool),
         "_avg_len": F.avg(F.when(is_candidate, F.col("_len"))).over(pool)})
     per_document = ["pool_id", "pos", "is_true", "_len", "_docs", "_avg_len"]
-    tf = measured.select(*per_document, F.explode_outer("_words").alias("_term")).groupBy(
+    tf = measured.select(*per_document, F.explode_outer(tokens(F.lower("text"))).alias("_term")).groupBy(
         *per_document, "_term").agg(F.count("_term").alias("_tf"))
 
     term = Window.partitionBy("pool_id", "_term")
@@ -63,12 +64,12 @@ def bm25_scores(pools: DataFrame, contexts: DataFrame) -> DataFrame:
         F.sum(gain).alias("score"))
 
 
-def _dealt(words: DataFrame) -> DataFrame:
-    """Whole pools dealt to tasks of about TOKENS_PER_TASK tokens."""
-    words = materialise(words, "words")
-    total = words.agg(F.coalesce(F.sum(F.greatest(F.size("_words"), F.lit(0))), F.lit(0))).first()[0]
-    cores = words.sparkSession.sparkContext.defaultParallelism
-    return words.repartition(max(cores, -(-total // TOKENS_PER_TASK)), "pool_id")
+def _dealt(texts: DataFrame) -> DataFrame:
+    """Whole pools dealt to tasks of about TOKENS_PER_TASK tokens (``_len`` of each text)."""
+    texts = materialise(texts, "texts")
+    total = texts.agg(F.coalesce(F.sum(F.greatest("_len", F.lit(0))), F.lit(0))).first()[0]
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(max(cores, -(-total // TOKENS_PER_TASK)), "pool_id")
 
 
 def dense_scores(pools: DataFrame, contexts: DataFrame, opts: Options, *,

@@ -133,3 +133,25 @@ def test_bm25_tasks_grow_with_the_texts(spark, monkeypatch):
         ranks = sorted((r.pool_id, r.pos, r.rank) for r in retrieval.rank_candidates(scored).collect())
         want = want or ranks
         assert ranks == want and len(ranks) == 40
+
+
+def test_bm25_sends_texts_and_not_arrays_of_tokens(spark, conf):
+    """A task keeps all rows it sends, so they are about as large as the texts."""
+    conf("spark.sql.adaptive.enabled", "false")
+    texts = [" ".join(f"w{(n * 7 + k * k) % 90}" for k in range(400)) for n in range(40)]
+    rows = [(str(n // 4), n % 4, n % 4 == 0, t) for n, t in enumerate(texts)] + [("0", 4, False, None)]
+    frame = spark.createDataFrame(rows, "pool_id string, pos int, is_true boolean, text string")
+    ctx = spark.createDataFrame([(str(p), texts[p * 4]) for p in range(10)], "pool_id string, ctx string")
+    scored = retrieval.bm25_scores(frame, ctx)
+    got = {(r.pool_id, r.pos): r.score for r in scored.collect()}
+    assert len(got) == 41 and got["0", 4] == 0.0 and any(score != 0 for score in got.values())
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from nodes(plan.children().apply(i))
+
+    sent = [n.metrics().apply("dataSize").value()
+            for n in nodes(scored._jdf.queryExecution().executedPlan()) if n.nodeName() == "Exchange"]
+    text_bytes = sum(len(r[3] or "") for r in rows) + sum(len(texts[p * 4]) for p in range(10))
+    assert len(sent) == 1 and text_bytes < sent[0] < 1.5 * text_bytes
