@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from stagecraft.llm import pitman_yor, stirling
+from stagecraft.scratch import batches_up_to
 
 
 def text(seed, n):
@@ -79,3 +80,12 @@ def test_scores_do_not_depend_on_where_the_table_of_numbers_ends(spark, monkeypa
     beyond = {r.doc_id: r.score for r in pitman_yor.score_documents(docs).collect()}
     assert max(abs(beyond[i] / by_table[i] - 1) for i in range(60)) < 0.01
     assert abs(sum(beyond.values()) / sum(by_table.values()) - 1) < 1e-3
+
+
+def test_small_batches_hold_only_inside(spark, conf):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for own, inside in (("10000", "512"), ("10", "10"), ("0", "512")):
+        conf(name, own)
+        with batches_up_to(spark, 512):
+            assert spark.conf.get(name) == inside
+        assert spark.conf.get(name) == own
